@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import bpe, decontaminate, language
 
-_MODULES = (decontaminate,)
+_MODULES = (decontaminate, bpe, language)
 
 
 def queries() -> dict:
