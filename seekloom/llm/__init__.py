@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language
+from . import bpe, decontaminate, language, toxicity
 
-_MODULES = (decontaminate, bpe, language)
+_MODULES = (decontaminate, toxicity, bpe, language)
 
 
 def queries() -> dict:
