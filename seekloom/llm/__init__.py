@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, toxicity
+from . import bpe, decontaminate, language, toxicity, warc
 
-_MODULES = (decontaminate, toxicity, bpe, language)
+_MODULES = (decontaminate, toxicity, warc, bpe, language)
 
 
 def queries() -> dict:

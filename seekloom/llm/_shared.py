@@ -72,3 +72,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, cut from its lineage, and marked for a broadcast if it is small enough.
+
+    ``row_bytes`` bounds a row's size. A table that is too large is joined by a shuffle.
+    """
+    held = cut(df)
+    return F.broadcast(held) if held.count() * row_bytes <= BROADCAST_BYTES else held

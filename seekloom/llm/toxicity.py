@@ -35,6 +35,8 @@ WIDTHS, FILTERS = (1, 2, 3), 8
 #: The bound of the training sample: rows of each class, and words of a sampled row.
 PER_CLASS, SAMPLE_WORDS = 2500, 3000
 EPOCHS = 6
+#: A hash bucket is learned if so many texts of the sample have it.
+LEAST_TEXTS = 4
 #: The contract's common threshold; languages get their own in :attr:`Model.thresholds`.
 THRESHOLD = 0.3
 LEAST_PER_LANGUAGE = 30
@@ -98,6 +100,13 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, prior: float
         0.0,
     )
     every = [_buckets(t) for t in texts]
+    # What few texts have can only be learned by heart: such rows stay at zero.
+    known = []
+    for k in range(HASHES):
+        seen = np.zeros(BUCKETS, np.int32)
+        for at in every:
+            seen[np.unique(at[k])] += 1
+        known.append(seen >= LEAST_TEXTS)
     held = np.arange(len(texts)) % 5 == 4
     fit = np.flatnonzero(~held)
     square = {"tables": [np.full(BUCKETS, 1e-3, np.float32) for _ in range(HASHES)], "filters": [np.full_like(w, 1e-3) for w in model.filters], "weights": np.full_like(model.weights, 1e-3), "bias": 1e-3}
@@ -124,10 +133,12 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, prior: float
                     to_words = part[f] * w[:, :, f]
                     square["filters"][k][:, :, f] += change**2
                     w[:, :, f] -= rate * 0.3 * change / np.sqrt(square["filters"][k][:, :, f])
-                    for table_, seen, rows in zip(model.tables, square["tables"], every[i], strict=True):
+                    for table_, seen, rows, known_ in zip(model.tables, square["tables"], every[i], known, strict=True):
                         for j in range(width):
-                            seen[rows[at + j]] += (to_words[j] ** 2).mean()
-                            table_[rows[at + j]] -= rate * to_words[j] / np.sqrt(seen[rows[at + j]])
+                            row = rows[at + j]
+                            if known_[row]:
+                                seen[row] += (to_words[j] ** 2).mean()
+                                table_[row] -= rate * to_words[j] / np.sqrt(seen[row])
     back = np.flatnonzero(held)
     raw = np.array([_pool(model, every[i])[0] @ model.weights + model.bias for i in back])
     y = labels[back].astype(float)
@@ -220,12 +231,16 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int =
     return train([np.asarray(h, np.int64) for h in rows["h"]], rows["toxic"].to_numpy(), rows["lang"].tolist(), prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` and ``toxic_here``: the score is at least its language's threshold."""
+def score(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``score`` and ``toxic_here``: the score is at least its language's threshold.
+
+    Without ``keep_text`` only the words' hashes go to Python, and ``text`` is left out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * HASHES * DIM floats: 8 MB, whatever the input
     hashes, out, here = free_name(docs, "hashes"), free_name(docs, "score"), free_name(docs, "toxic_here")
     has_lang = "lang" in docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    carried = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -233,7 +248,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             limits = [shared.value.thresholds.get(str(x), THRESHOLD) for x in batch["lang"]] if has_lang else THRESHOLD
             yield batch.drop(columns=hashes).assign(**{out: made, here: made >= limits})
 
-    return docs.withColumn(hashes, hashed(F.col("text"))).mapInPandas(run, f"{fields}, `{out}` double, `{here}` boolean")
+    ready = docs.withColumn(hashes, hashed(F.col("text")))
+    return (ready if keep_text else ready.drop("text")).mapInPandas(run, f"{fields}, `{out}` double, `{here}` boolean")
 
 
 def held_out_rows() -> Column:
@@ -245,7 +261,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn(docs, labels, held_out_rows())
     narrow = docs.select("doc_id", F.coalesce(held_out_rows(), F.lit(False)).alias("held_out"), "text")
-    made = score(narrow, model)
+    made = score(narrow, model, keep_text=False)
     return made.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
