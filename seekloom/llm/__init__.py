@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, toxicity, warc
+from . import bpe, decontaminate, language, neardup, toxicity, warc
 
-_MODULES = (decontaminate, toxicity, warc, bpe, language)
+_MODULES = (decontaminate, toxicity, warc, bpe, language, neardup)
 
 
 def queries() -> dict:
