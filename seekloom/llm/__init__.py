@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, neardup, privacy, toxicity, warc
+from . import bpe, decontaminate, language, neardup, privacy, shards, toxicity, warc
 
-_MODULES = (decontaminate, toxicity, warc, privacy, bpe, language, neardup)
+_MODULES = (decontaminate, shards, toxicity, warc, privacy, bpe, language, neardup)
 
 
 def queries() -> dict:
