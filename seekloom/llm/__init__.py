@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, neardup, privacy, shards, spots, toxicity, warc
+from . import bpe, decontaminate, html, language, neardup, privacy, shards, spots, toxicity, warc
 
-_MODULES = (decontaminate, shards, toxicity, warc, privacy, bpe, language, spots, neardup)
+_MODULES = (decontaminate, shards, toxicity, warc, privacy, bpe, language, spots, html, neardup)
 
 
 def queries() -> dict:
