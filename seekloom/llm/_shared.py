@@ -62,8 +62,8 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column, lower: Column | None = None) -> Column:
     """The words of a text as an array; null and blank texts have none."""
-    flat = F.trim(F.regexp_replace(ascii_lower(text) if lower is None else lower, NOT_WORD, " "))
-    return F.when(F.coalesce(F.length(flat), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    flat = F.regexp_replace(ascii_lower(text) if lower is None else lower, NOT_WORD, " ")
+    return F.coalesce(F.array_remove(F.split(flat, " "), ""), F.array().cast("array<string>"))
 
 
 def free_name(df: DataFrame, name: str) -> str:
