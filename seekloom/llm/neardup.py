@@ -14,8 +14,10 @@ Texts with the same words are one class at once; for the others, bands of the
 signature give buckets. Members of a bucket are compared to a hub, not to each
 other; what a hub joins is one component, and only members of a bucket that are still
 in different components are compared further: to new hubs while those join much, then
-pair by pair, leaving out pairs whose lengths rule the similarity out and those whose
-signatures agree in so few components that a similar pair would once in 300,000. So no
+all of them. Small buckets go pair by pair, leaving out pairs whose lengths rule the similarity
+out and those whose signatures agree in so few components that a similar pair would once in
+300,000. Large families are cut into blocks; a task compares two blocks by a product of
+matrices and returns only which components they join, so no pair is a row. So no
 link that the bands find is lost, and a large group costs one comparison per member
 and hub. Every comparison is of the exact multisets.
 
@@ -44,6 +46,10 @@ COMPONENTS = BANDS * ROWS
 PASS = 1 << 19
 #: Similar pairs agree in about 0.8 of the components; this share is 4.5 deviations below.
 LEAST_AGREEMENT = 0.6
+#: A bucket with more open pairs for each member than this is compared in blocks of so many texts.
+WIDE, BLOCK = 16, 512
+#: Columns of a block's matrix at a time.
+COLUMNS = 4096
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -168,6 +174,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return joined.mapInPandas(run, f"a {key}, b {key}")
 
 
+def _block_links(texts: list[np.ndarray], left: np.ndarray, right: np.ndarray, labels: list, similarity: float) -> list[tuple]:
+    """Pairs of labels that a similar pair of a left and a right text joins, as few as do."""
+    bags = [shingles(h) for h in texts]
+    # a multiset's k-th copy of an element is an element of its own: weighted Jaccard becomes plain Jaccard
+    copies = [np.concatenate([np.arange(n) for n in b[1]]) if len(b[1]) and b[1].max() > 1 else np.zeros(len(b[0]), np.int64) for b in bags]
+    elements = [_mix(np.repeat(b[0], b[1]) + c.astype(np.uint64) * _GOLD) for b, c in zip(bags, copies, strict=True)]
+    sizes = np.array([len(e) for e in elements], np.float32)
+    flat, owner = np.concatenate(elements), np.repeat(np.arange(len(texts)), sizes.astype(np.int64))
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1  # an element of one text only is in no intersection
+    place = (np.cumsum(shared) - 1)[column]
+    kept = shared[column]
+    place, owner = place[kept], owner[kept]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(place, [start, start + COLUMNS])
+        matrix = np.zeros((len(texts), COLUMNS), np.float32)
+        matrix[owner[a:b], place[a:b] - start] = 1
+        common += matrix[left] @ matrix[right].T
+    alike = common >= (similarity - 1e-12) * (sizes[left][:, None] + sizes[right][None, :] - common)
+    root: dict = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, k in zip(*np.nonzero(alike), strict=True):
+        x, y = find(labels[left[i]]), find(labels[right[k]])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((labels[left[i]], labels[right[k]]))
+    return out
+
+
+def _in_blocks(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``a, b`` between labels: all similar texts of the families that the buckets of ``placed`` make up."""
+    placed = cut(placed.select("bucket", "id", "label"))
+    key = placed.schema["id"].dataType.simpleString()
+    if placed.isEmpty():
+        return placed.select(F.col("label").alias("a"), F.col("label").alias("b"))
+    hub = placed.groupBy("bucket").agg(F.min("label").alias("hub"))
+    stars = placed.join(hub.hint("merge"), "bucket").select(F.col("label").alias("a"), F.col("hub").alias("b"))
+    families = _components(placed.select(F.col("label").alias("id"), "label").distinct(), stars).select(F.col("id").alias("label"), F.col("label").alias("family"))
+    members = placed.select("id", "label").distinct().join(families.hint("merge"), "label")
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(blocks.hint("merge"), "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = members.join(texts.hint("merge"), "id")
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "family", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "h")
+
+    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, one, two = keys
+        own = rows["own"].to_numpy()
+        found = _block_links(rows["h"].tolist(), np.flatnonzero(own == one), np.flatnonzero(own == two), rows["label"].tolist(), similarity)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt.groupBy("family", "one", "two").applyInPandas(run, f"a {key}, b {key}")
+
+
 def _components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest label that each ``id, label`` reaches by ``edges`` (``a, b`` are labels)."""
     edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -215,9 +285,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         last = before is not None and open_pairs > before / 2  # hubs no longer join much
         before = open_pairs
         if last:
-            other = placed.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"), F.col("runs").alias("runs_b"))
+            wide = kinds.where(F.col("n") * F.col("n") - F.col("same") > 2 * WIDE * F.col("n")).select("bucket")
+            labels = _components(labels, _in_blocks(placed.join(wide.hint("merge"), "bucket"), texts, similarity))
+            rest = placed.join(wide.hint("merge"), "bucket", "left_anti").drop("label").join(labels.hint("merge"), "id")
+            other = rest.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"), F.col("runs").alias("runs_b"))
             able = F.least("runs", "runs_b") >= F.greatest("runs", "runs_b") * F.lit(similarity - 1e-9)
-            pairs = placed.join(other.hint("merge"), "bucket").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & able)
+            pairs = rest.join(other.hint("merge"), "bucket").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & able)
             pairs = pairs.where(_agreement("sketch", "sketch_b") >= LEAST_AGREEMENT * COMPONENTS).select(F.col("id").alias("a"), "b")
         else:
             # each bucket's own hub, another one each time
