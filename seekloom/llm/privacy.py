@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, sized, table
+from ._shared import cut, free_name, sized, table
 
 # Each pattern finds what the plain one beside it finds. A run that has failed once isn't tried
 # again from its middle, and nothing is given back, so long runs take linear time.
@@ -151,7 +151,8 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE
     n_e = pairs.where("term = ''").select("entity", F.col("n_te").alias("n_e"))
     near = pairs.where("term <> ''").join(n_e, "entity")
     wanted = sized(near.select("term").distinct(), 400)
-    everywhere = docs.select(F.explode(_vocabulary(F.col("text"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join: a common word's documents are summed in each task, not joined one by one
+    everywhere = docs.select(F.explode(_vocabulary(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
     total = docs.count()
     ratio = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     return near.join(everywhere, "term").where((F.col("n_e") < total) & (ratio >= disclosure)).select("term").distinct()
@@ -166,7 +167,8 @@ def _vocabulary(text: Column) -> Column:
 def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of ``(start, rank, end, value)`` in order.
 
-    ``rank`` counts :data:`KINDS`, and one past them is a disclosing term.
+    ``rank`` counts :data:`KINDS`, and one past them is a disclosing term. The two columns come
+    last; if ``docs`` has their names, they get underscores in front.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("__base", base_spans(text))
@@ -184,7 +186,7 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     extra = F.when(F.col("__terms").isNotNull(), _ranked(spotted, len(KINDS))).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>"))
     # words inside an entity are covered by its span already
     free = F.filter(extra, lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return joined.select(*[found[c] for c in docs.columns], F.col("__base").alias("base"), F.array_sort(F.concat("__base", free)).alias("spans"))
+    return joined.select(*[found[c] for c in docs.columns], F.col("__base").alias(free_name(docs, "base")), F.array_sort(F.concat("__base", free)).alias(free_name(docs, "spans")))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -215,10 +217,11 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised, and ``n_chars`` to match if there is one."""
-    made = find(docs).withColumn("__out", sanitised(F.col("text"), F.col("spans")))
+    spans = free_name(docs, "spans")
+    made = find(docs).withColumn("__out", sanitised(F.col("text"), F.col(spans)))
     out = {"text": F.col("__out")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.size("spans") > 0, F.length("__out").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(F.size(spans) > 0, F.length("__out").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return made.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
 
 
