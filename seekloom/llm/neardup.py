@@ -13,8 +13,7 @@ point for each element and ``m ln m`` more.
 Texts with the same words are one class at once; for the others, bands of the
 signature give buckets. Members of a bucket are compared to a hub, not to each
 other; what a hub joins is one component, and only members of a bucket that are still
-in different components are compared further: to new hubs while those join much, then
-all of them. Small buckets go pair by pair, leaving out pairs whose lengths rule the similarity
+in different components are compared further, all of them. Small buckets go pair by pair, leaving out pairs whose lengths rule the similarity
 out and those whose signatures agree in so few components that a similar pair would once in
 300,000. Large families are cut into blocks; a task compares two blocks by a product of
 matrices and returns only which components they join, so no pair is a row. So no
@@ -156,9 +155,15 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / total if total else 0.0
 
 
-def _agreement(a: str, b: str) -> Column:
-    """How many bytes of two sketches are equal."""
-    return F.size(F.filter(F.zip_with(F.col(a), F.col(b), lambda x, y: x == y), lambda same: same))
+def _able(a: str, b: str, similarity: float) -> Column:
+    """Whether texts of so many runs can be alike at all."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9)
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether enough bytes of two sketches are equal."""
+    same = F.filter(F.zip_with(F.col(a), F.col(b), lambda x, y: x == y), lambda equal: equal)
+    return F.size(same) >= LEAST_AGREEMENT * COMPONENTS
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -240,12 +245,12 @@ def _in_blocks(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFr
 
 def _components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest label that each ``id, label`` reaches by ``edges`` (``a, b`` are labels)."""
-    edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if edges.isEmpty():
+    edges = edges.where("a != b")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.select(F.explode(ways).alias("e")).select("e.*").distinct())
+    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
+    if roots.isEmpty():
         return labels
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
-    roots = cut(roots)
     while True:
         # neighbours' smallest root, then the root's own root: paths halve each time
         near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("rb").alias("rb"))
@@ -272,46 +277,29 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = docs.where(F.col("doc_id").isNotNull()).join(sized(ids, 32), F.col("doc_id") == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
     texts = cut(texts.select("id", _hashed(F.col("text")).alias("h")))
     labels = ids.select("id", F.col("id").alias("label"))
-    tested, step, before = None, 0, None
-    while True:
-        placed = members.join(labels.hint("merge"), "id")
-        # a bucket whose members are one component is done
-        split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-        placed = cut(placed.join(split.hint("merge"), "bucket"))
-        kinds = placed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        open_pairs = kinds.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).head()[0] or 0
-        if not open_pairs:
-            break
-        last = before is not None and open_pairs > before / 2  # hubs no longer join much
-        before = open_pairs
-        if last:
-            wide = kinds.where(F.col("n") * F.col("n") - F.col("same") > 2 * WIDE * F.col("n")).select("bucket")
-            labels = _components(labels, _in_blocks(placed.join(wide.hint("merge"), "bucket"), texts, similarity))
-            rest = placed.join(wide.hint("merge"), "bucket", "left_anti").drop("label").join(labels.hint("merge"), "id")
-            other = rest.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"), F.col("runs").alias("runs_b"))
-            able = F.least("runs", "runs_b") >= F.greatest("runs", "runs_b") * F.lit(similarity - 1e-9)
-            pairs = rest.join(other.hint("merge"), "bucket").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & able)
-            pairs = pairs.where(_agreement("sketch", "sketch_b") >= LEAST_AGREEMENT * COMPONENTS).select(F.col("id").alias("a"), "b")
-        else:
-            # each bucket's own hub, another one each time
-            rank = F.xxhash64("bucket", "id", F.lit(step))
-            hub = placed.groupBy("bucket").agg(F.min_by(F.struct("id", "label", "sketch", "runs"), rank).alias("hub"))
-            able = F.least("runs", "hub.runs") >= F.greatest("runs", "hub.runs") * F.lit(similarity - 1e-9)
-            pairs = placed.join(hub.hint("merge"), "bucket").where((F.col("label") != F.col("hub.label")) & able)
-            pairs = pairs.where(_agreement("sketch", "hub.sketch") >= LEAST_AGREEMENT * COMPONENTS)
-            pairs = pairs.select(F.least("id", F.col("hub.id")).alias("a"), F.greatest("id", F.col("hub.id")).alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        links = _verified(pairs, texts, similarity)
+
+    def labelled(pairs: DataFrame) -> DataFrame:
+        """Edges between the labels of similar pairs."""
         of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")).hint("merge")
-        edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        labels = _components(labels, edges)
-        if last:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        step += 1
+        return _verified(pairs, texts, similarity).join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+
+    # every member against its bucket's hub, a member picked by a hash
+    hub = members.groupBy("bucket").agg(F.min_by(F.struct("id", "sketch", "runs"), F.xxhash64("bucket", "id")).alias("hub"))
+    pairs = members.join(hub.hint("merge"), "bucket").where((F.col("id") != F.col("hub.id")) & _able("runs", "hub.runs", similarity) & _agree("sketch", "hub.sketch"))
+    tested = cut(pairs.select(F.least("id", F.col("hub.id")).alias("a"), F.greatest("id", F.col("hub.id")).alias("b")).distinct())
+    labels = _components(labels, labelled(tested))
+    # then all members of what is still in several components; a bucket that is one component is done
+    placed = cut(members.join(labels.hint("merge"), "id"))
+    kinds = placed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    open_ = F.col("n") * F.col("n") - F.col("same")
+    kinds = cut(kinds.where(open_ > 0).select("bucket", (open_ > 2 * WIDE * F.col("n")).alias("wide")))
+    placed = placed.join(kinds.hint("merge"), "bucket")
+    rest = placed.where("NOT wide")
+    other = rest.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"), F.col("runs").alias("runs_b"))
+    pairs = rest.join(other.hint("merge"), "bucket").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & _able("runs", "runs_b", similarity) & _agree("sketch", "sketch_b"))
+    pairs = pairs.select(F.col("id").alias("a"), "b").distinct().join(tested.hint("merge"), ["a", "b"], "left_anti")
+    edges = labelled(pairs).unionByName(_in_blocks(placed.where("wide"), texts, similarity))
+    labels = _components(labels, edges)
     named = first.join(labels.hint("merge"), "id", "left").select("same", F.col("id").alias("same_as"), F.coalesce("label", "id").alias("class_id"))
     return signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(named, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("same_as", "doc_id").alias("same_as"))
 
