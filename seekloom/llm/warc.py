@@ -76,7 +76,7 @@ def write_archive(path: str, records: list[bytes]) -> tuple[int, int]:
     raw = trained.as_bytes() if trained else b""
     store, name = fs.FileSystem.from_uri(path)
     size = 0
-    with store.open_output_stream(name) as out:
+    with store.open_output_stream(name, compression=None) as out:
         if raw:
             packed = zstandard.ZstdCompressor(level=LEVEL).compress(raw)
             size += out.write(struct.pack("<II", SKIPPABLE, len(packed))) + out.write(packed)
@@ -88,7 +88,7 @@ def write_archive(path: str, records: list[bytes]) -> tuple[int, int]:
 def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record, one record in memory at a time."""
     store, name = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(name) as source:
+    with store.open_input_stream(name, compression=None) as source:
         start = source.read(8)
         decompressor, rest = zstandard.ZstdDecompressor(), start
         if len(start) == 8 and struct.unpack("<II", start)[0] == SKIPPABLE:
