@@ -221,8 +221,9 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int =
     share = F.when(F.col("toxic") == 1, per_class / max(counts.get(1, 0), 1)).otherwise(per_class / max(counts.get(0, 0), 1))
     chosen = known.where(place < share)  # about per_class rows of each class, whatever the table's size
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", hashed(F.col("text")).alias("h"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.where(F.size("h") <= SAMPLE_WORDS).select("doc_id", "toxic", "lang", "h").toPandas()
+    # the sample is taken before its words are hashed
+    rows = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("doc_id", "toxic", "lang", hashed(F.col("text")).alias("h")).where(F.size("h") <= SAMPLE_WORDS).select("doc_id", "toxic", "lang", "h").toPandas()
     rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
     if rows["toxic"].nunique() < 2:
         model = train([], np.zeros(0), [], prior)
