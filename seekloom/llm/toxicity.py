@@ -20,7 +20,6 @@ names, pass through; a language without enough labels gets the common threshold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -232,25 +231,24 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int =
     return train([np.asarray(h, np.int64) for h in rows["h"]], rows["toxic"].to_numpy(), rows["lang"].tolist(), prior)
 
 
-def score(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` and ``toxic_here``: the score is at least its language's threshold.
 
-    Without ``keep_text`` only the words' hashes go to Python, and ``text`` is left out.
+    Only the words' hashes go to Python; all columns of ``docs`` stay where they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * HASHES * DIM floats: 8 MB, whatever the input
-    hashes, out, here = free_name(docs, "hashes"), free_name(docs, "score"), free_name(docs, "toxic_here")
-    has_lang = "lang" in docs.columns
-    carried = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    out, here = free_name(docs, "score"), free_name(docs, "toxic_here")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = scores(shared.value, batch[hashes].tolist())
-            limits = [shared.value.thresholds.get(str(x), THRESHOLD) for x in batch["lang"]] if has_lang else THRESHOLD
-            yield batch.drop(columns=hashes).assign(**{out: made, here: made >= limits})
+    @F.pandas_udf("double")
+    def run(hashes: pd.Series) -> pd.Series:
+        return pd.Series(scores(shared.value, hashes.tolist()))
 
-    ready = docs.withColumn(hashes, hashed(F.col("text")))
-    return (ready if keep_text else ready.drop("text")).mapInPandas(run, f"{fields}, `{out}` double, `{here}` boolean")
+    limit = F.lit(THRESHOLD)
+    if "lang" in docs.columns:
+        for lang, own in sorted(model.thresholds.items()):
+            limit = F.when(F.col("lang").cast("string") == str(lang), F.lit(float(own))).otherwise(limit)
+    made = docs.withColumn(out, run.asNondeterministic()(hashed(F.col("text"))))  # else it runs once for each use
+    return made.withColumn(here, F.col(out) >= limit)
 
 
 def held_out_rows() -> Column:
@@ -262,7 +260,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn(docs, labels, held_out_rows())
     narrow = docs.select("doc_id", F.coalesce(held_out_rows(), F.lit(False)).alias("held_out"), "text")
-    made = score(narrow, model, keep_text=False)
+    made = score(narrow, model)
     return made.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
