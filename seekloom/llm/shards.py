@@ -30,7 +30,7 @@ from ._shared import free_name, scratch, table
 
 FANOUT = 4
 SMALLEST, TARGET = 1 << 20, 128 << 20
-#: Old versions whose files are kept for readers that still use them.
+#: Versions that can be read after a compaction; the one before the latest goes when the next merge begins.
 KEPT_VERSIONS = 2
 
 
@@ -130,6 +130,7 @@ class Store:
         """Merge until no tier is full; how many merges were committed."""
         merges = 0
         while groups := self.due():
+            self.vacuum(1)  # a merge needs room: at no time are there more than two copies of a row
             group = groups[0]
             files = max(1, min(len(group) // FANOUT, math.ceil(sum(s.bytes for s in group) / SMALLEST)), math.ceil(sum(s.bytes for s in group) / self.target))
             folder = f"{self.folder}/data/{uuid.uuid4().hex}"
@@ -137,13 +138,13 @@ class Store:
             self.spark.read.schema(schema).parquet(*[s.path for s in group]).coalesce(files).write.parquet(folder)
             self.publish(self._written(folder), frozenset(s.path for s in group))
             merges += 1
-            self.vacuum()
+        self.vacuum()
         return merges
 
-    def vacuum(self) -> None:
+    def vacuum(self, keep: int = KEPT_VERSIONS) -> None:
         """Delete manifests but the latest few, and the files that only those listed."""
         known = self.versions()
-        old, kept = known[: -KEPT_VERSIONS or None], known[-KEPT_VERSIONS:]
+        old, kept = known[:-keep], known[-keep:]
         needed = {s.path for v in kept for s in self.shards(v)}
         for version in old:
             for shard in self.shards(version):
