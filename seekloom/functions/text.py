@@ -173,12 +173,22 @@ def unit_offsets(files: DataFrame, text: str = "text", file_id: str = "doc_id")
     return made.select("file_id", (F.col("n") + 1).alias("line_number"), "start", (F.col("start") + F.octet_length(F.regexp_replace("raw", r"\r\z", ""))).cast("long").alias("end"))
 
 
-def literal_offsets(folded: Column, needle: str) -> Column:
-    """Byte offsets of all starts of ``needle`` in a text that its folding leaves in place."""
-    n = len(needle)
-    last = F.greatest(F.length(folded) - n + 1, F.lit(1))
-    found = F.transform(F.sequence(F.lit(1), last), lambda i: F.when(F.substring(folded, i, F.lit(n)) == needle, F.octet_length(F.substring(folded, F.lit(1), i - 1))))
-    return F.filter(found, lambda x: x.isNotNull())
+def literal_offsets(folded: Column, needle: str, measure=F.octet_length) -> Column:
+    """Offsets of all starts of ``needle``, overlapping ones too: in bytes, or in what ``measure`` counts.
+
+    The text is cut before each start, which takes one pass; the lengths of the pieces add up to the offsets.
+    """
+    quoted = "".join(f"\\{c}" if c.isascii() and not c.isalnum() else c for c in needle)
+    pieces = F.split(folded, f"(?={quoted})", -1)
+    nothing = F.array().cast("array<int>")
+    first = F.when(F.startswith(folded, F.lit(needle)), F.array(F.lit(0))).otherwise(nothing)
+    laid = F.aggregate(
+        F.slice(pieces, 1, F.size(pieces) - 1),
+        F.struct(F.lit(0).alias("at"), nothing.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + measure(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + measure(x))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return F.concat(first, laid)
 
 
 # --- paths and presentation ------------------------------------------------

@@ -32,9 +32,8 @@ def _no_hits(units: DataFrame) -> DataFrame:
 
 def _mapped(folded: Column, origins: Column, needle: str) -> Column:
     """Offsets for a text whose folding moves bytes: through the origins, neighbours from one character once."""
-    n = len(needle)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(folded) - n + 1, F.lit(1))), lambda i: F.substring(folded, i, F.lit(n)) == needle)
-    found = F.transform(places, lambda i: F.get(origins, i - 1))
+    places = literal_offsets(folded, needle, F.length)
+    found = F.transform(places, lambda i: F.get(origins, i))
     return F.filter(found, lambda x, i: (i == 0) | (x != F.get(found, i - 1)))
 
 
