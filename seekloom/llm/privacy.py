@@ -5,10 +5,11 @@ protected entities. For a word near an entity, document frequencies over the who
 corpus estimate how much it tells of the entity: the pointwise mutual information
 ``ln(N n(t,e) / (n(t) n(e)))``, where ``n(t,e)`` counts documents in which the word stands
 within ``WINDOW`` words of the entity. A word discloses the entity if that is at least
-``DISCLOSURE`` of the entity's own information ``ln(N / n(e))``, with ``SUPPORT`` documents or
-more behind it. Such words are found in all documents and generalised (to their
-first letter's case and length class) or removed; the entities are replaced by
-their kind.
+``DISCLOSURE`` of the entity's own information ``ln(N / n(e))``. The share ``n(t,e) / n(t)`` in it is
+shrunk towards chance, ``n(e) / N``, by ``PRIOR`` documents, so few documents weigh less than
+many and yet decide, for an entity of one document too. Such words are found in all
+documents and generalised (to their first letter's case and length class) or
+removed; the entities are replaced by their kind.
 
 Positions come from cutting a text at its matches: the gaps and matches alternate, so
 their lengths add up to code-point offsets, without a Python function.
@@ -42,7 +43,7 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 WORD = r"[\p{L}\p{M}]{3,}"
 WINDOW, CONTEXT = 8, 160
-DISCLOSURE, SUPPORT = 0.9, 3
+DISCLOSURE, PRIOR = 0.9, 0.5
 
 
 def matches(text: Column, pattern: Column) -> Column:
@@ -137,7 +138,7 @@ def _near(text: Column, span: Column) -> Column:
     return F.array_distinct(F.concat(F.slice(F.reverse(left), 1, WINDOW), F.slice(right, 1, WINDOW)))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """Words that disclose an entity: ``term``, each once.
 
     ``found`` has ``doc, text, base``; ``docs`` has the ``text`` of all documents.
@@ -147,15 +148,17 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE
     mentions = mentions.select("doc", F.xxhash64(entity).alias("entity"), _near(F.col("text"), F.col("s")).alias("terms"))
     # the entity itself is counted by the empty term, so one pass gives n(e) and n(t, e)
     pairs = mentions.select("doc", "entity", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = cut(pairs.where((F.col("n_te") >= support) | (F.col("term") == "")))
+    pairs = cut(pairs)
     n_e = pairs.where("term = ''").select("entity", F.col("n_te").alias("n_e"))
     near = pairs.where("term <> ''").join(n_e, "entity")
     wanted = sized(near.select("term").distinct(), 400)
     # counted before the join: a common word's documents are summed in each task, not joined one by one
     everywhere = docs.select(F.explode(_vocabulary(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
     total = docs.count()
-    ratio = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    return near.join(everywhere, "term").where((F.col("n_e") < total) & (ratio >= disclosure)).select("term").distinct()
+    chance = F.col("n_e") / F.lit(float(total))
+    share = (F.col("n_te") + F.lit(prior) * chance) / (F.col("n_t") + F.lit(prior))
+    ratio = F.log(share / chance) / -F.log(chance)
+    return near.join(sized(everywhere, 400), "term").where((F.col("n_e") < total) & (ratio >= disclosure)).select("term").distinct()
 
 
 def _vocabulary(text: Column) -> Column:
@@ -164,7 +167,7 @@ def _vocabulary(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(flat, " ")), lambda w: F.length(w) >= 3)
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of ``(start, rank, end, value)`` in order.
 
     ``rank`` counts :data:`KINDS`, and one past them is a disclosing term. The two columns come
@@ -173,7 +176,7 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("__base", base_spans(text))
     keyed = found.select(F.xxhash64("doc_id", "text").alias("doc"), text.alias("text"), F.col("__base").alias("base"))
-    terms = disclosing(keyed.where(F.size("base") > 0), docs, disclosure, support)
+    terms = disclosing(keyed.where(F.size("base") > 0), docs, disclosure, prior)
     # documents with such words, few or none of most, and for each the words it has
     hits = docs.select(F.xxhash64("doc_id", "text").alias("__doc"), F.explode(_vocabulary(F.col("text"))).alias("term")).join(sized(terms, 400), "term")
     hits = sized(hits.groupBy("__doc").agg(F.array_sort(F.collect_set("term")).alias("__terms")), 4096)

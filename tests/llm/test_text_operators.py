@@ -129,6 +129,17 @@ def test_disclosing_terms_are_found_everywhere(spark):
     assert "@" not in clean[0] and "[EMAIL]" in clean[0] and clean[200] == "also [LONG WORD] alone" and clean[7] == docs[7][1] and clean[201] is None
 
 
+def test_entities_of_one_and_two_documents_have_disclosing_terms(spark):
+    docs = [(0, "Common words here, Qwertling wrote from once@mail.example.com about common things")]
+    docs += [(k, "common words here Zorblatt wrote from twice@mail.example.com about common things") for k in (1, 2)]
+    docs += [(k, "common words wrote from here about things") for k in range(3, 200)] + [(200, "also qwertling alone"), (201, "a common word, and things of Zorblatt")]
+    out = {r.doc_id: [s.value.lower() for s in r.spans if s.rank == 4] for r in privacy.find(spark.createDataFrame(docs[:200], "doc_id long, text string")).collect()}
+    assert out[0] == ["qwertling"] and out[1] == out[2] == ["zorblatt"] and not any(out[k] for k in range(3, 200))
+    # another document with the word weakens it: one of two isn't enough here, two of three are not either
+    out = {r.doc_id: [s.value.lower() for s in r.spans if s.rank == 4] for r in privacy.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not any(out.values())
+
+
 def test_privacy_edges(spark):
     docs = edge_docs(spark)
     out = privacy.sanitise(docs)
