@@ -42,7 +42,9 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 WORD = r"[\p{L}\p{M}]{3,}"
-WINDOW, CONTEXT = 8, 160
+WINDOW = 8
+#: Code points on a side that are looked at first, and next; then all of them are.
+CONTEXT = (160, 2560)
 DISCLOSURE, PRIOR = 0.9, 0.5
 
 
@@ -126,15 +128,24 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _plain(side: Column) -> Column:
+    """The words of a text beside a span, without other entities' parts."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(side, r"(?<!\S)[^\s@0-9]*+[@0-9]\S*+", " ")), F.lit(WORD), F.lit(0))
+
+
 def _near(text: Column, span: Column) -> Column:
-    """The last words before and the first after a span, without other entities' parts."""
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    # a word that the cut may have split is left out
-    before = F.when(span["start"] > CONTEXT, F.regexp_replace(before, r"^[\p{L}\p{M}]+", "")).otherwise(before)
-    after = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, r"[\p{L}\p{M}]+$", "")).otherwise(after)
-    plain = lambda c: F.regexp_extract_all(F.lower(F.regexp_replace(c, r"\S*[@0-9]\S*", " ")), F.lit(WORD), F.lit(0))
-    left, right = plain(before), plain(after)
+    """The last ``WINDOW`` words before and the first after a span.
+
+    They are looked for in so many code points beside it, then in more, then in all: a cut text
+    counts if enough words are in it without the run that the cut may have split.
+    """
+    start, end = span["start"], span["end"]
+    left, right = _plain(F.substring(text, F.lit(1), start)), _plain(F.substring(text, end + 1, F.length(text)))
+    for size in reversed(CONTEXT):
+        before = F.regexp_replace(F.substring(text, start - size + 1, F.lit(size)), r"^\S++", "")
+        after = F.regexp_replace(F.substring(text, end + 1, F.lit(size)), r"(?<!\S)\S++$", "")
+        left = F.when((start > size) & (F.size(_plain(before)) >= WINDOW), _plain(before)).otherwise(left)
+        right = F.when((F.length(text) - end > size) & (F.size(_plain(after)) >= WINDOW), _plain(after)).otherwise(right)
     return F.array_distinct(F.concat(F.slice(F.reverse(left), 1, WINDOW), F.slice(right, 1, WINDOW)))
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from seekloom import llm
 from seekloom.llm import bpe, decontaminate, language, privacy, toxicity
@@ -140,6 +141,21 @@ def test_entities_of_one_and_two_documents_have_disclosing_terms(spark):
     assert not any(out.values())
 
 
+def _near_words(text, start, end):
+    plain = lambda side: re.findall(r"[^\W\d_]{3,}", re.sub(r"[^ \t\n\x0b\f\r]*[@0-9][^ \t\n\x0b\f\r]*", " ", side).lower())
+    return set(plain(text[:start])[-privacy.WINDOW :] + plain(text[end:])[: privacy.WINDOW])
+
+
+def test_the_words_near_an_entity_are_as_many_as_the_window(spark):
+    r = random.Random(5)
+    words = ["to", "one", "Two", "w" * 30, "v" * 170, "日本語" * 70, "長" * 3000, "a1b", "x@y.example.org", "foo,bar", "\n"]
+    texts = [" ".join(r.choice(words[: r.choice([3, 4, 6, 11])]) for _ in range(r.randint(0, 60))) + r.choice([" ", ""]) + "me@mail.example.com" + r.choice(["", " ", ", "]) + " ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(150)]
+    texts += ["語" * 400 + " me@mail.example.com " + "字" * 200, " ".join(f"{chr(97 + k) * 40}" for k in range(20)) + " me@mail.example.com"]
+    df = spark.createDataFrame([(k, t, t.index("me@"), t.index("me@") + 19) for k, t in enumerate(texts)], "doc_id int, text string, start int, end int")
+    got = {x.doc_id: set(x.n) for x in df.select("doc_id", privacy._near(F.col("text"), F.struct("start", "end")).alias("n")).collect()}
+    assert [k for k, t in enumerate(texts) if got[k] != _near_words(t, t.index("me@"), t.index("me@") + 19)] == []
+
+
 def test_privacy_edges(spark):
     docs = edge_docs(spark)
     out = privacy.sanitise(docs)
