@@ -374,6 +374,32 @@ def gram_candidates(spark, d):
     return g.candidates(g.grams(_ascii_units(spark, d)), "Worthless")
 
 
+# The four queries above take lines of ASCII only, as their SQL cuts characters. These take all lines, as the SQL cuts bytes.
+_GA = f"""{_F}, g AS (SELECT DISTINCT file_id AS block_id, substr(bytes, 2 * i - 1, 6) AS gram
+  FROM (SELECT file_id, bytes, unnest(range(1, length(bytes) // 2 - 1)) AS i FROM (SELECT file_id, upper(hex(encode(folded))) AS bytes FROM f)))"""
+_DFA = f"{_GA}, df AS (SELECT gram, CAST(least(count(*), 65) AS BIGINT) AS df FROM g GROUP BY gram)"
+
+
+@query(f"WITH {_DFA} SELECT gram, df FROM df")
+def gram_df_all(spark, d):
+    return g.document_frequency(g.grams(_units(spark, d)))
+
+
+@query(f"WITH {_DFA} SELECT gram, df FROM df ORDER BY df, gram LIMIT 50")
+def gram_rare_all(spark, d):
+    return g.rarest(g.document_frequency(g.grams(_units(spark, d))), 50)
+
+
+@query(f"WITH {_DFA}, k AS (SELECT df, sum(sum(df)) OVER (ORDER BY df) AS total FROM df WHERE df <= 64 GROUP BY df) SELECT gram, df.df AS df FROM df JOIN k USING (df) WHERE total <= 2000")
+def gram_budget_all(spark, d):
+    return g.budget(g.document_frequency(g.grams(_units(spark, d))), 2000).select("gram", "df")
+
+
+@query(f"WITH {_GA} SELECT block_id FROM g WHERE gram IN ('{"', '".join(sorted({('worthless'[i:i + 3]).encode().hex().upper() for i in range(7)}))}') GROUP BY block_id HAVING count(*) = 7")
+def gram_candidates_all(spark, d):
+    return g.candidates(g.grams(_units(spark, d)), "Worthless")
+
+
 @query(f"WITH {_hits_sql('worthless')} {_H}")
 def gram_pruned_hits(spark, d):
     """Hits found through candidates only: the same as from a scan of all units."""

@@ -44,3 +44,15 @@ def test_entry(spark):
 def test_registry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(suite.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_grams_of_all_lines(spark, con, tmp_path):
+    text = "plain line\nça ne vaut rien, “Worthless”\n"
+    spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    assert [r.block_id for r in suite.QUERIES["gram_candidates_all"](spark, d).collect()] == [1]
+    lines = [line.lower().encode() for line in [*text.split("\n"), "nothing"]]
+    grams = {line[k : k + 3].hex().upper() for line in lines for k in range(len(line) - 2)}
+    assert {r.gram for r in suite.QUERIES["gram_df_all"](spark, d).collect()} == grams
+    assert {r.gram for r in suite.QUERIES["gram_budget_all"](spark, d).collect()} == grams
+    assert [r.gram for r in suite.QUERIES["gram_rare_all"](spark, d).collect()] == [g for g in sorted(grams, key=lambda g: (sum(any(g == x[k : k + 3].hex().upper() for x in part for k in range(len(x) - 2)) for part in (lines[:-1], lines[-1:])), g))][:50]
