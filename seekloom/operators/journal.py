@@ -84,12 +84,16 @@ def normalise(journal: DataFrame) -> DataFrame:
     return out.select("usn", "file_reference", "action", F.when(F.col("action") == "rename", F.col("kept")).alias("old_name"), F.when(F.col("action") != "reconcile", F.col("name")).alias("new_name"), "is_directory")
 
 
-def checkpoint(journal: DataFrame, observed_next: int, pending: DataFrame | None = None) -> DataFrame:
-    """One row, ``next_usn``: no later than any old name of this batch or still pending from others."""
-    held = journal.where(_has(RENAME_OLD)).select("usn")
+def checkpoint(journal: DataFrame, observed_next: int | None = None, pending: DataFrame | None = None) -> DataFrame:
+    """One row, ``next_usn``: no later than any old name of this batch or still pending from others.
+
+    If ``observed_next`` isn't given, it is one past the batch's last row.
+    """
+    held = journal.select(F.when(_has(RENAME_OLD), F.col("usn")).alias("usn"), F.col("usn").alias("seen"))
     if pending is not None:
-        held = held.unionByName(pending.select("usn"))
-    return held.agg(F.least(F.min("usn"), F.lit(observed_next).cast("long")).alias("next_usn"))
+        held = held.unionByName(pending.select("usn", F.lit(None).cast("long").alias("seen")))
+    after = F.max("seen") + 1 if observed_next is None else F.lit(observed_next).cast("long")
+    return held.agg(F.least(F.min("usn"), after).alias("next_usn"))
 
 
 def valid(checkpoint_id: Column, next_usn: Column, journal_id: Column, first: Column, last: Column) -> Column:

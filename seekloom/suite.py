@@ -486,6 +486,35 @@ def overlay_tombstones(spark, d):
     return o.resolved(*_log(spark, d))[1]
 
 
+# The log of the two queries above is of every 97th event, over every third user. This one is of all events, over the
+# customers; four events in a row share a path.
+_LOG_ALL = """ev AS (SELECT event_id AS seq, user_id AS file_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS action, 'p' || (event_id // 4) AS path, event_type = 'purchase' AS content_changed FROM events),
+base AS (SELECT c_custkey AS file_id FROM customer),
+l AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq DESC) AS n, bool_or(content_changed) OVER (PARTITION BY file_id) AS sticky FROM ev),
+w AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS k FROM l WHERE n = 1 AND action = 'upsert')"""
+
+
+def _log_all(spark, d):
+    log = _table(spark, d, "events").select(
+        F.col("event_id").alias("seq"),
+        F.col("user_id").alias("file_id"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("action"),
+        F.concat(F.lit("p"), F.expr("event_id div 4").cast("string")).alias("path"),
+        (F.col("event_type") == "purchase").alias("content_changed"),
+    )
+    return log, _table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"))
+
+
+@query(f"WITH {_LOG_ALL} SELECT file_id, path, sticky AS content_changed FROM w WHERE k = 1")
+def path_owner_replacement_all(spark, d):
+    return o.resolved(*_log_all(spark, d))[0].select("file_id", "path", "content_changed")
+
+
+@query(f"WITH {_LOG_ALL} SELECT DISTINCT file_id FROM (SELECT file_id FROM l WHERE n = 1 AND action = 'delete' UNION ALL SELECT file_id FROM w WHERE k > 1) WHERE file_id IN (SELECT file_id FROM base)")
+def overlay_tombstones_all(spark, d):
+    return o.resolved(*_log_all(spark, d))[1]
+
+
 @query(f"""WITH {_D}, seen AS (SELECT file_id, path, size, modified_ns FROM live UNION ALL SELECT file_id, path, size, modified_ns FROM up)
 SELECT coalesce(m.file_id, s.file_id) AS file_id, CASE WHEN m.file_id IS NULL THEN 'create' WHEN s.file_id IS NULL THEN 'delete' WHEN m.path <> s.path THEN 'rename' ELSE 'modify' END AS action,
 CASE WHEN m.file_id IS NULL THEN TRUE WHEN s.file_id IS NULL THEN FALSE ELSE m.size <> s.size OR m.modified_ns <> s.modified_ns END AS content_changed
@@ -542,6 +571,12 @@ def journal_checkpoint(spark, d):
     return j.checkpoint(_journal(spark, d).where("usn >= 5000"), 9000)
 
 
+@query(f"WITH {_J} SELECT CAST(least(min(CASE WHEN reason & {j.RENAME_OLD} <> 0 THEN usn END), max(usn) + 1) AS BIGINT) AS next_usn FROM jr")
+def journal_checkpoint_all(spark, d):
+    """Over the whole journal, and the next usn as observed in it."""
+    return j.checkpoint(_journal(spark, d))
+
+
 _TREE = """tree AS (SELECT 0 AS file_id, CAST(NULL AS BIGINT) AS parent, 'root' AS name UNION ALL SELECT 1 + r_regionkey, 0, r_name FROM region
 UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, n_name FROM nation UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey, c_name FROM customer)"""
 

@@ -56,3 +56,15 @@ def test_grams_of_all_lines(spark, con, tmp_path):
     assert {r.gram for r in suite.QUERIES["gram_df_all"](spark, d).collect()} == grams
     assert {r.gram for r in suite.QUERIES["gram_budget_all"](spark, d).collect()} == grams
     assert [r.gram for r in suite.QUERIES["gram_rare_all"](spark, d).collect()] == [g for g in sorted(grams, key=lambda g: (sum(any(g == x[k : k + 3].hex().upper() for x in part for k in range(len(x) - 2)) for part in (lines[:-1], lines[-1:])), g))][:50]
+
+
+def test_logs_and_checkpoints_take_all_events(spark, tmp_path):
+    events = [(10, 7, "purchase"), (11, 2, "error"), (12, 8, "signup"), (13, 7, "signup"), (14, 9, "signup"), (30, 4, "view"), (9001, 5, "signup")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(2,), (7,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = lambda name: sorted(tuple(r) for r in suite.QUERIES[name](spark, str(tmp_path)).collect())
+    assert rows("path_owner_replacement_all") == [(4, "p7", False), (5, "p2250", False), (9, "p3", False)]
+    assert rows("overlay_tombstones_all") == [(2,), (7,)]
+    assert rows("journal_checkpoint_all") == [(30,)]
+    journal = suite._journal(spark, str(tmp_path)).where("usn <> 30")
+    assert suite.j.checkpoint(journal).head().next_usn == 9002
