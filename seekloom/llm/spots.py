@@ -1,7 +1,9 @@
 """Document fingerprints by spot signatures.
 
 A common word (an anchor) and the chain of the next content words make a signature; a
-text's fingerprint is the set of its signatures, in order, as hexadecimal numbers.
+text's fingerprint is the set of its signatures, in order, as hexadecimal numbers. In a text
+with fewer anchors than one in ``SPARSE`` words (another language, a list, code) each content
+word is an anchor besides, so the whole text counts; characters of scripts without spaces are words there.
 Two fingerprints are compared by Jaccard similarity; a wanted least similarity
 prunes by set length first and then stops a merge that can't reach it. For pairs within a
 table, :func:`partitions` gives the length ranges outside which no partner lies.
@@ -44,7 +46,13 @@ COMMON = frozenset(
     "al como con del el ella era es esta este fue ha las lo los más me mi muy para pero por se ser si sin sobre su sus también una y".split()
 )
 
+#: A text with fewer common words before others than one in so many has too few anchors.
+SPARSE = 16
+
 _words = re.compile(r"[^\W_]+").findall
+#: Thai to Burmese, Khmer, kana and Chinese characters, which are written without spaces.
+_BARE = r"\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff"
+_pieces = re.compile(rf"[{_BARE}]|[^\W_{_BARE}]+").findall
 
 
 def signatures(text: str | None) -> frozenset[int]:
@@ -54,13 +62,17 @@ def signatures(text: str | None) -> frozenset[int]:
     content = [w for w in words if w not in COMMON]
     if not content:
         return frozenset([xxhash.xxh32_intdigest(" ".join(words))])
-    chains, at = {"^ " + " ".join(content[:CHAIN])}, 0
+    chains, at, anchors = {"^ " + " ".join(content[:CHAIN])}, 0, 0
     for word in words:
         if word in COMMON:
             if at < len(content):
+                anchors += 1
                 chains.add(f"{word} {' '.join(content[at : at + CHAIN])}")
         else:
             at += 1
+    if anchors * SPARSE < len(words):
+        pieces = [w for w in _pieces(text.lower()) if w not in COMMON]
+        chains |= {" ".join(pieces[k : k + 1 + CHAIN]) for k in range(len(pieces))}
     return frozenset(map(xxhash.xxh32_intdigest, chains))
 
 

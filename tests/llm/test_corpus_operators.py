@@ -115,6 +115,23 @@ def test_spots_edges(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_texts_without_anchors_count_as_a_whole():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("bcdfgklmnprstvz") for _ in range(7))
+    start = [word(), word()]
+    for one, two in (([word() for _ in range(60)], [word() for _ in range(60)]), (["the"] + [word() for _ in range(60)], [word() for _ in range(60)])):
+        one, two = " ".join(start + one), " ".join(start + two)
+        assert spots.likeness(*map(spots.signatures, (one, two))) < 0.1
+        for k in (0, 1, 30):  # near copies: one word differs
+            copy = one.split()
+            copy[k] = word()
+            assert 0.8 < spots.likeness(spots.signatures(one), spots.signatures(" ".join(copy))) < 1.0
+    ends = [" ".join(start + [word() for _ in range(20)] + ["the"] * 20) for _ in range(2)]  # common words with nothing after them
+    assert spots.likeness(*map(spots.signatures, ends)) < 0.1
+    chinese = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(200))
+    assert 0.9 < spots.likeness(spots.signatures(chinese), spots.signatures(chinese[:100] + "一二" + chinese[100:])) < 1.0
+
+
 def test_pruned_likeness_is_exact_above_the_least():
     r = random.Random(1)
     for _ in range(500):
