@@ -5,8 +5,9 @@ text's fingerprint is the set of its signatures, in order, as hexadecimal number
 with fewer anchors than one in ``SPARSE`` words (another language, a list, code) each content
 word is an anchor besides, so the whole text counts; characters of scripts without spaces are words there.
 Two fingerprints are compared by Jaccard similarity; a wanted least similarity
-prunes by set length first and then stops a merge that can't reach it. For pairs within a
-table, :func:`partitions` gives the length ranges outside which no partner lies.
+prunes by set length first and then stops a merge that can't reach it. :func:`partitions`
+gives the length ranges outside which no partner lies. The query wants exact values, so it
+uses neither, and nothing here compares a whole table by them.
 
 The next document in descending order of ids is found without a global sort into
 one task: ids are cut at approximate quantiles, each range is sorted by itself,
