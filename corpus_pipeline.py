@@ -15,10 +15,10 @@ from seekloom.llm._shared import scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold go. The model learns from the labelled ones."""
+    """Documents whose score reaches their language's threshold go. The model learns from the labelled ones."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), toxicity.held_out_rows())
     scored = toxicity.score(docs, model)
-    return scored.where(F.col(scored.columns[-2]) < toxicity.THRESHOLD).select(*docs.columns)
+    return scored.where(~F.col(scored.columns[-1])).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -306,6 +306,14 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert "pipeline" in __spark_entry__.queries()
 
 
+def test_the_languages_thresholds_decide_in_the_pipeline(spark, monkeypatch):
+    marked = "CASE doc_id WHEN 1 THEN 0.4D WHEN 2 THEN 0.2D ELSE 0.0D END AS score", "doc_id = 2 AS toxic_here"
+    monkeypatch.setattr(corpus_pipeline.toxicity, "learn", lambda *a: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda docs, model: docs.selectExpr("*", *marked))
+    docs = spark.createDataFrame([(1, "over 0.3"), (2, "under 0.3"), (3, "none")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()) == [(1, "over 0.3"), (3, "none")]
+
+
 def test_pipeline_takes_empty_and_odd_documents(spark, tmp_path):
     for name in ("labels", "benchmark"):
         write(spark.read.parquet(f"{SF}/{name}.parquet"), str(tmp_path), name)
