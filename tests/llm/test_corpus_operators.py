@@ -280,6 +280,15 @@ def test_classes_are_those_of_all_pairs(spark, wide, monkeypatch):
     assert got == _classes(docs)
 
 
+def test_no_pair_is_lost_by_its_signatures(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAST_AGREEMENT", 1.1)  # as if no signatures agreed enough
+    r = random.Random(9)
+    base = [f"v{r.randrange(300)}" for _ in range(120)]
+    docs = list(enumerate([_family(r, base, 1, base) for _ in range(5)] + ["quite another text of some words"], 1))
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _classes(docs) and len(set(got.values())) < len(docs) - 1
+
+
 def test_one_of_each_class_stays(spark):
     docs = edge_docs(spark)
     out = neardup.keep_one(docs)
