@@ -5,11 +5,13 @@ Nothing outside ``seekloom.llm`` imports this module.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Everything that is not part of a normalised word: ASCII other than digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -24,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is named by ``spark.checkpoint.dir``; only where that is unset (tests,
-    local mode) a folder of this machine is taken, and the setting is left as is.
+    It is named by ``spark.checkpoint.dir``. Only on a local master, where that is unset (tests),
+    a folder of this machine is taken; on a cluster that would be a folder that others can't see.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if not current:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="seekloom-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
@@ -43,12 +47,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path and what is below it, on any file system that Hadoop knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Folder:
+    """Intermediate tables below a new path of the shared folder.
+
+    A table is written as Parquet and read again, so its lineage ends there and a lost executor costs
+    no more than reading its files once more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self._tables = spark, scratch(spark, name), []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{len(self._tables)}"
+        df.write.parquet(path)
+        held = self.spark.read.schema(df.schema).parquet(path)
+        self._tables.append((held, path))
+        return held
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that :meth:`cut` made and nothing reads any more."""
+        for held, path in self._tables:
+            if any(held is t for t in tables):
+                remove(self.spark, path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -74,10 +100,24 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, cut from its lineage, and marked for a broadcast if it is small enough.
+def _bytes(kind: T.DataType, value: Column) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType):
+            each = F.aggregate(value, F.lit(0).cast("long"), lambda acc, x: acc + _bytes(kind.elementType, x))
+        else:
+            each = F.size(value).cast("long") * 16
+        return F.coalesce(each, F.lit(0).cast("long")) + 24
+    return F.lit(16).cast("long")
+
+
+def sized(df: DataFrame, work: Folder | None = None) -> DataFrame:
+    """``df``, written and read again, and marked for a broadcast if its rows are measured to be small together.
 
-    ``row_bytes`` bounds a row's size. A table that is too large is joined by a shuffle.
+    A table of more than ``BROADCAST_BYTES`` is joined by a shuffle.
     """
-    held = cut(df)
-    return F.broadcast(held) if held.count() * row_bytes <= BROADCAST_BYTES else held
+    held = (work or Folder(df.sparkSession, "sized")).cut(df)
+    total = held.agg(F.sum(sum((_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(16).cast("long"))).alias("n")).head()["n"]
+    return F.broadcast(held) if (total or 0) <= BROADCAST_BYTES else held

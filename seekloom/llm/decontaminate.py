@@ -159,7 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
         F.col("spans").alias("__spans"),
         (covered(F.col("spans")) * share >= F.col("n_words")).alias("__out"),
     )
-    found = sized(found, 4096)
+    found = sized(found)
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__hit_id"]) & (F.xxhash64(docs["text"]) == found["__hit_key"]), "left")
     kept = joined.where(~F.coalesce(F.col("__out"), F.lit(False)))
     cleaned = F.when(F.col("__spans").isNotNull(), without_spans(docs["text"], F.col("__spans"))).otherwise(docs["text"])

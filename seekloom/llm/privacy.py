@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, free_name, sized, table
+from ._shared import Folder, free_name, sized, table
 
 # Each pattern finds what the plain one beside it finds. A run that has failed once isn't tried
 # again from its middle, and nothing is given back, so long runs take linear time.
@@ -159,17 +159,17 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE
     mentions = mentions.select("doc", F.xxhash64(entity).alias("entity"), _near(F.col("text"), F.col("s")).alias("terms"))
     # the entity itself is counted by the empty term, so one pass gives n(e) and n(t, e)
     pairs = mentions.select("doc", "entity", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = cut(pairs)
+    pairs = Folder(docs.sparkSession, "privacy").cut(pairs)
     n_e = pairs.where("term = ''").select("entity", F.col("n_te").alias("n_e"))
     near = pairs.where("term <> ''").join(n_e, "entity")
-    wanted = sized(near.select("term").distinct(), 400)
+    wanted = sized(near.select("term").distinct())
     # counted before the join: a common word's documents are summed in each task, not joined one by one
     everywhere = docs.select(F.explode(_vocabulary(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
     total = docs.count()
     chance = F.col("n_e") / F.lit(float(total))
     share = (F.col("n_te") + F.lit(prior) * chance) / (F.col("n_t") + F.lit(prior))
     ratio = F.log(share / chance) / -F.log(chance)
-    return near.join(sized(everywhere, 400), "term").where((F.col("n_e") < total) & (ratio >= disclosure)).select("term").distinct()
+    return near.join(sized(everywhere), "term").where((F.col("n_e") < total) & (ratio >= disclosure)).select("term").distinct()
 
 
 def _vocabulary(text: Column) -> Column:
@@ -189,8 +189,8 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR)
     keyed = found.select(F.xxhash64("doc_id", "text").alias("doc"), text.alias("text"), F.col("__base").alias("base"))
     terms = disclosing(keyed.where(F.size("base") > 0), docs, disclosure, prior)
     # documents with such words, few or none of most, and for each the words it has
-    hits = docs.select(F.xxhash64("doc_id", "text").alias("__doc"), F.explode(_vocabulary(F.col("text"))).alias("term")).join(sized(terms, 400), "term")
-    hits = sized(hits.groupBy("__doc").agg(F.array_sort(F.collect_set("term")).alias("__terms")), 4096)
+    hits = docs.select(F.xxhash64("doc_id", "text").alias("__doc"), F.explode(_vocabulary(F.col("text"))).alias("term")).join(sized(terms), "term")
+    hits = sized(hits.groupBy("__doc").agg(F.array_sort(F.collect_set("term")).alias("__terms")))
     joined = found.join(hits, F.xxhash64("doc_id", "text") == F.col("__doc"), "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join("__terms", "|"), F.lit(r")(?![\p{L}\p{M}])"))
     lowered = F.lower(text)

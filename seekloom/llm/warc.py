@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, scratch, sized, table
+from ._shared import Folder, scratch, sized, table
 
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 10, 6 << 20
@@ -143,7 +143,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     again = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    again = sized(again.where("n > 1").select(F.col("digest").alias("__digest"), "first"), 200)
+    again = sized(again.where("n > 1").select(F.col("digest").alias("__digest"), "first"))
     # ``again`` has each digest once, so a digest that a third of the rows share adds no row; beyond a
     # broadcast's size, adaptive execution splits that digest's partition.
     joined = rows.join(again, (F.col("digest") == F.col("__digest")) & (F.octet_length("payload") >= least), "left")
@@ -170,7 +170,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
     store, name = fs.FileSystem.from_uri(folder)
     store.create_dir(name, recursive=True)
-    return cut(ready.mapInPandas(run, "path string, records long, bytes long, dictionary_bytes long"))
+    return Folder(pages.sparkSession, "manifest").cut(ready.mapInPandas(run, "path string, records long, bytes long, dictionary_bytes long"))
 
 
 def read(manifest: DataFrame, key: str = "bigint") -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from seekloom.llm import html, neardup, shards, spots, warc
+from seekloom.llm._shared import Folder
 
 from .common import SF, edge_docs, empty_docs, write
 
@@ -262,10 +263,12 @@ def _classes(docs):
     return {doc: least[find(k)] for k, (doc, _) in enumerate(docs)}
 
 
-@pytest.mark.parametrize("wide", [neardup.WIDE, 0])
-def test_classes_are_those_of_all_pairs(spark, wide, monkeypatch):
-    monkeypatch.setattr(neardup, "WIDE", wide)
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+@pytest.mark.parametrize(("texts", "runs", "many"), [(neardup.BLOCK_TEXTS, neardup.BLOCK_RUNS, neardup.MANY), (12, neardup.BLOCK_RUNS, 0), (neardup.BLOCK_TEXTS, 900, 5)])
+def test_classes_are_those_of_all_pairs(spark, texts, runs, many, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", texts)
+    monkeypatch.setattr(neardup, "BLOCK_RUNS", runs)
+    monkeypatch.setattr(neardup, "MANY", many)
+    monkeypatch.setattr(neardup, "COLUMNS", 64)
     r = random.Random(6)
     vocabulary = [f"v{k}" for k in range(300)]
     docs = []
@@ -280,13 +283,49 @@ def test_classes_are_those_of_all_pairs(spark, wide, monkeypatch):
     assert got == _classes(docs)
 
 
-def test_no_pair_is_lost_by_its_signatures(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LEAST_AGREEMENT", 1.1)  # as if no signatures agreed enough
-    r = random.Random(9)
-    base = [f"v{r.randrange(300)}" for _ in range(120)]
-    docs = list(enumerate([_family(r, base, 1, base) for _ in range(5)] + ["quite another text of some words"], 1))
-    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == _classes(docs) and len(set(got.values())) < len(docs) - 1
+def test_blocks_join_what_their_links_join(spark, tmp_path):
+    """Blocks over families of one and many components, against all pairs that share a band."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    r = random.Random(2)
+    rows, texts = [], {}
+    for family in range(5):
+        base = [r.randrange(1000) for _ in range(60)]
+        for _ in range([3, 40, 90, 7, 60][family]):
+            words = [w if r.random() > 0.02 else r.randrange(1000) for w in base]
+            texts[len(rows)] = np.array(words, np.int64)
+            label = r.choice([1000 * family, 1000 * family + 1, 1000 * family + 2 + len(rows)])
+            rows.append((len(rows), label, family, [r.randrange(2) + 10 * family, r.randrange(4) + 100 * family + 1000], len(words) - 4))
+    open_ = spark.createDataFrame(rows, "node long, label long, family long, bands array<long>, runs int")
+    hashed = spark.createDataFrame([(k, t.tolist()) for k, t in texts.items()], "node long, h array<long>")
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    def joined(edges):
+        root.clear()
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {label: find(label) for _, label, *_ in rows}
+
+    want = joined([(a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and any(x == y for x, y in zip(a[3], b[3], strict=True)) and neardup.weighted_jaccard(texts[a[0]], texts[b[0]]) >= 0.8])
+    for size in (8, 25, 2048):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(neardup, "BLOCK_TEXTS", size)
+            found = neardup._in_blocks(Folder(spark, "blocks"), open_, hashed, 0.8).collect()
+        assert joined([(e.a, e.b) for e in found]) == want and all(e.a != e.b for e in found)
+
+
+def test_an_id_with_several_texts_loses_no_link(spark):
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*b, "end"])), (3, " ".join([*a, "end"])), (4, "alone")]
+    df = spark.createDataFrame([(*d, "x", 5) for d in docs], "doc_id long, text string, id string, class_id int")
+    assert sorted((r.doc_id, r.class_id) for r in neardup.classes(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r)[:2] for r in kept.collect()) == sorted([docs[0], docs[1], docs[4]])
 
 
 def test_one_of_each_class_stays(spark):
