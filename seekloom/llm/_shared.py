@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,27 @@ def words(text: Column, lower: Column | None = None) -> Column:
     return F.coalesce(F.array_remove(F.split(flat, " "), ""), F.array().cast("array<string>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(sizes: Column, chunk: int = 256) -> Column:
+    """The sum of an int array's values up to each. Sums are laid out chunk by chunk, so a long array isn't copied for each value."""
+    nothing = F.array().cast("array<int>")
+
+    def sums(values: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), nothing.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(values, first, step, lambda acc: acc["out"])
+
+    zero = F.lit(0).cast("int")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(chunk))
+    totals = F.transform(starts, lambda at: F.aggregate(F.slice(sizes, at, F.lit(chunk)), zero, lambda acc, x: acc + x))
+    many = let(F.concat(F.array(zero), sums(totals, zero)), lambda before: F.flatten(F.transform(starts, lambda at, i: sums(F.slice(sizes, at, F.lit(chunk)), F.get(before, i)))))
+    return F.when(F.size(sizes) > chunk, many).otherwise(sums(sizes, zero))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name`` with underscores added until no column of ``df`` clashes."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ space after anything else, so whatever the context, a match ends before such a
 space; and what a match takes from there on does not depend on the text before. So
 the ids outside the window are those of the joined text, joining is associative, and
 the root has the ids of one pass over the text. Where there is no such place, the
-window reaches the end of the part. Decoding concatenates the bytes of halves up
+window reaches the end of the part, so text without spaces is encoded again at each level. Decoding concatenates the bytes of halves up
 the same kind of tree.
 
 Defined cases: a null text counts as empty and has no ids; texts of any length are
@@ -30,7 +30,10 @@ from pyspark.sql import types as T
 
 from ._shared import free_name, table
 
-LEAF = 2048
+#: Parts of at most so many code points are encoded at once; smaller ones mean more joining.
+LEAF = 256
+#: Ids that are decoded at once.
+RUN = 4096
 LARGEST_FILE = 64 << 20
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -80,7 +83,7 @@ class Codec:
 
     def decode(self, ids: list[int], start: int = 0, end: int | None = None) -> bytes:
         end = len(ids) if end is None else end
-        if end - start <= self.leaf:
+        if end - start <= min(self.leaf * 16, RUN):
             return b"".join(map(self._bytes.__getitem__, ids[start:end]))
         middle = (start + end) // 2
         return self.decode(ids, start, middle) + self.decode(ids, middle, end)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_BYTES, sized, table, words
+from ._shared import BROADCAST_BYTES, free_name, sized, table, words
 
 #: So many words of a window are hashed to find candidates; all are compared after that.
 PROBES = 4
@@ -54,11 +54,11 @@ def _probes_of(starts: Column, length: int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), _probe(F.col("w"), i, length).alias("probe")))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, limit: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document text: ``doc_id, text_key, copies, n_words, spans, items``.
 
     ``spans`` are sorted ``(start, end)`` word positions, end exclusive, of verified
-    windows; ``copies`` says how many equal rows there are.
+    windows; ``copies`` says how many equal rows there are. Windows of over ``limit`` bytes are not broadcast.
     """
     windows = benchmark_windows(benchmark, size)
     stats = windows.agg(
@@ -66,34 +66,50 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
         F.sum(F.lit(64) + F.length(F.array_join("win_words", " ")) * 2 + F.length(F.array_join("items", " "))).alias("bytes"),
     ).head()
     lengths, weight = list(stats["lengths"] or []), stats["bytes"] or 0
-    # One sentinel per document keeps those without a hit, so a single pass does.
-    sentinel = docs.sparkSession.createDataFrame([(0, 0)], "probe long, win_len int").select(
-        "probe", F.lit(None).cast("array<string>").alias("win_words"), "win_len", F.lit(None).cast("array<string>").alias("items")
-    )
-    build = windows.select("probe", "win_words", "win_len", "items").unionByName(sentinel)
-    if weight <= BROADCAST_BYTES:
-        build = F.broadcast(build)
-
     prepared = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
-    found = [F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("probe")))]
+    found = []
     for length in lengths:
         starts = F.when(F.col("n_words") >= length, F.sequence(F.lit(0), F.greatest(F.col("n_words") - length, F.lit(0)))).otherwise(F.array().cast("array<int>"))
         found.append(_probes_of(starts, length))
-    probes = prepared.select("doc_id", "text_key", "n_words", "w", F.explode(F.concat(*found)).alias("p"))
-    probes = probes.select("doc_id", "text_key", "n_words", "w", F.col("p.at").alias("at"), F.col("p.len").alias("len"), F.col("p.probe").alias("probe"))
-    same = F.when(F.col("at") < 0, F.col("win_len") == 0).otherwise((F.col("win_len") == F.col("len")) & (F.slice("w", F.col("at") + 1, F.greatest(F.col("len"), F.lit(1))) == F.col("win_words")))
-    matched = probes.join(build, "probe").where(same)
+    build = windows.select("probe", "win_words", "win_len", "items")
+    joined = _broadcast(prepared, found, build) if weight <= limit else _shuffled(prepared, found, build)
     real = F.col("at") >= 0
-    return (
-        matched.groupBy("doc_id", "text_key", "n_words")
-        .agg(
-            F.sum(F.when(real, 0).otherwise(1)).alias("copies"),
-            F.array_sort(F.collect_set(F.when(real, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("len")).alias("end"))))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(real, F.col("items")))))).alias("items"),
-        )
+    return joined.groupBy("doc_id", "text_key", "n_words").agg(
+        F.sum("copies").alias("copies"),
+        F.array_sort(F.collect_set(F.when(real, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("len")).alias("end"))))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(real, F.col("items")))))).alias("items"),
     )
 
 
+def _broadcast(prepared: DataFrame, found: list[Column], build: DataFrame) -> DataFrame:
+    """A row for each verified window, ``at, len, items``, and one of ``at`` -1 that counts as a copy for each row of ``prepared``."""
+    # That row is from a sentinel that all rows probe, so a single pass over the texts does.
+    sentinel = build.sparkSession.createDataFrame([(0, 0)], "probe long, win_len int").select("probe", F.lit(None).cast("array<string>").alias("win_words"), "win_len", F.lit(None).cast("array<string>").alias("items"))
+    first = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("probe")))
+    probes = prepared.select("doc_id", "text_key", "n_words", "w", F.explode(F.concat(first, *found)).alias("p")).select("doc_id", "text_key", "n_words", "w", "p.*")
+    same = F.when(F.col("at") < 0, F.col("win_len") == 0).otherwise((F.col("win_len") == F.col("len")) & (F.slice("w", F.col("at") + 1, F.greatest(F.col("len"), F.lit(1))) == F.col("win_words")))
+    matched = probes.join(F.broadcast(build.unionByName(sentinel)), "probe").where(same)
+    return matched.withColumn("copies", F.when(F.col("at") < 0, 1).otherwise(0))
+
+
+def _shuffled(prepared: DataFrame, found: list[Column], build: DataFrame) -> DataFrame:
+    """The same without a broadcast. What is shuffled for each window of a text has a bounded size."""
+    key = ["doc_id", "text_key", "n_words"]
+    rows = prepared.groupBy(*key).agg(F.count("*").alias("copies"))
+    nothing = [F.lit(-1).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("array<string>").alias("items")]
+    if not found:
+        return rows.select(*key, "copies", *nothing)
+    probes = prepared.select(*key, F.explode(F.concat(*found)).alias("p")).select(*key, "p.*")
+    likely = probes.join(build.select("probe").distinct(), "probe", "left_semi")
+    # the words of likely windows only: places are brought back to their text, which is cut there
+    places = likely.groupBy(*key).agg(F.collect_set(F.struct("at", "len", "probe")).alias("places"))
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_key") == F.col("r.text_key"))
+    texts = prepared.alias("l").join(places.alias("r"), same).select("l.*", "r.places").dropDuplicates(["doc_id", "text_key"])
+    windows = texts.select(*key, F.explode(F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), x["probe"].alias("probe"), F.slice("w", x["at"] + 1, x["len"]).alias("win_words")))).alias("p"))
+    matched = windows.select(*key, "p.*").join(build.select("probe", "win_words", "items"), ["probe", "win_words"])
+    return rows.select(*key, "copies", *nothing).unionByName(matched.select(*key, F.lit(0).cast("long").alias("copies"), "at", "len", "items"))
+
+
 def covered(spans: Column) -> Column:
     """How many positions sorted spans cover."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
@@ -108,12 +124,12 @@ def covered(spans: Column) -> Column:
     )
 
 
-def report(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Per row of ``docs``: how many of its words lie in benchmark windows, and of which items.
 
     A document is contaminated if at least one word in ``share`` is hit.
     """
-    found = hits(docs, benchmark, size).select("doc_id", "text_key", "copies", F.col("n_words").cast("long").alias("n_words"), covered(F.col("spans")).cast("long").alias("n_hit"), "items", "spans")
+    found = hits(docs, benchmark, size, limit).select("doc_id", "text_key", "copies", F.col("n_words").cast("long").alias("n_words"), covered(F.col("spans")).cast("long").alias("n_hit"), "items", "spans")
     full = found.select(
         "doc_id",
         "text_key",
@@ -152,26 +168,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     All columns stay; ``text`` and, if there is one, ``n_chars`` follow the cut.
     Clean documents, null and empty texts included, stay as they are.
     """
+    id_, key, spans, out_, clean = (free_name(docs, name) for name in ("hit_id", "hit_key", "hit_spans", "hit_out", "clean_text"))
     found = hits(docs, benchmark, size).where(F.size("spans") > 0)
     found = found.select(
-        F.col("doc_id").alias("__hit_id"),
-        F.col("text_key").alias("__hit_key"),
-        F.col("spans").alias("__spans"),
-        (covered(F.col("spans")) * share >= F.col("n_words")).alias("__out"),
+        F.col("doc_id").alias(id_),
+        F.col("text_key").alias(key),
+        F.col("spans").alias(spans),
+        (covered(F.col("spans")) * share >= F.col("n_words")).alias(out_),
     )
     found = sized(found)
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__hit_id"]) & (F.xxhash64(docs["text"]) == found["__hit_key"]), "left")
-    kept = joined.where(~F.coalesce(F.col("__out"), F.lit(False)))
-    cleaned = F.when(F.col("__spans").isNotNull(), without_spans(docs["text"], F.col("__spans"))).otherwise(docs["text"])
-    out = []
-    for name in docs.columns:
-        if name == "text":
-            out.append(cleaned.alias(name))
-        elif name == "n_chars":
-            out.append(F.when(F.col("__spans").isNotNull(), F.length(cleaned).cast(docs.schema[name].dataType)).otherwise(docs[name]).alias(name))
-        else:
-            out.append(docs[name])
-    return kept.select(*out)
+    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left").where(~F.coalesce(F.col(out_), F.lit(False)))
+    cleaned = F.when(F.col(spans).isNotNull(), without_spans(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    kept, out = kept.withColumn(clean, cleaned), {"text": F.col(clean)}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col(spans).isNotNull(), F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

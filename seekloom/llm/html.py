@@ -23,15 +23,18 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ._shared import table
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder semantics annotation object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is not markup and never text.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math object select".split())
+#: Their content is neither markup nor text of the page: it ends at the first end tag.
+RAW = frozenset("script style textarea title iframe noembed select".split())
+#: What these hold is not shown as text; they end where as many end tags as start tags of theirs have come.
+HIDDEN = frozenset("svg template".split())
 #: A start tag of the key closes an open element of the value, if no element of the last group is between.
 _BLOCKS = "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul"
 CLOSES = {t: frozenset(["p"]) for t in _BLOCKS.split()} | {
@@ -55,6 +58,7 @@ _attr = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""
 _name_part = re.compile(r"[a-z]+")
 _space = re.compile(r"\s+")
 _raw_end = {t: re.compile(rf"</{t}\b[^>]*+(?:>|\Z)", re.I) for t in RAW}
+_nested = {t: re.compile(rf"<(/?){t}(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?:>|\Z)", re.I) for t in HIDDEN}
 
 
 class Node:
@@ -123,10 +127,17 @@ def parse(page: str) -> list[Node]:
         elif opening:
             tag = opening.lower()
             if tag in RAW:
-                if not found[3].rstrip().endswith("/"):
-                    ended = _raw_end[tag].search(page, at)
-                    at = ended.end() if ended else end
-                if tag not in ("svg", "math"):
+                ended = _raw_end[tag].search(page, at)
+                at = ended.end() if ended else end
+                flush()
+                continue
+            if tag in HIDDEN:
+                depth = 0 if found[3].rstrip().endswith("/") else 1
+                while depth:
+                    mark = _nested[tag].search(page, at)
+                    at = mark.end() if mark else end
+                    depth = 0 if mark is None else depth - 1 if mark[1] else depth if mark[0].rstrip("> \t\r\n").endswith("/") else depth + 1
+                if tag != "svg":
                     flush()
                 continue
             if closes := CLOSES.get(tag):
@@ -262,9 +273,13 @@ _MAIN = ["article", "div.article", "main", "div.content", "div#content", "div.po
 _WORDS = "time house stone river field light winter paper glass window garden letter market bridge mountain silver corner morning story number question answer table engine forest harbour street music colour station little great early strong never often under after where before people small north".split()
 
 
-def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
-    """Pages of many layouts with labels, the same for the same arguments."""
+def labelled_pages(count: int = 240, seed: int = 11, part: int | None = None) -> list[str]:
+    """Pages of many layouts with labels, the same for the same arguments.
+
+    ``part`` 0 or 1 takes every other name of the elements only, so models can be tested on names they haven't seen.
+    """
     r = random.Random(seed)
+    mine = lambda names: names if part is None else names[part::2]
     pages = []
 
     def words(low: int, high: int, stop: str = "") -> str:
@@ -282,7 +297,7 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
         return "".join(f"<p>{words(8, 60, r.choice(['.', '.', '.', '?', '!', '']))}</p>" for _ in range(r.randint(low, high)))
 
     def boiler(kind: str) -> str:
-        slot = r.choice(_SLOTS[kind])
+        slot = r.choice(mine(_SLOTS[kind]))
         if kind == "nav":
             body = links(3, 8)
         elif kind == "head":
@@ -322,7 +337,7 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[str]:
                 parts.append(f"<p>{words(2, 12)} <a href='/y'>{words(1, 6)}</a> {words(3, 20, '.')}</p>")
             else:
                 parts.append(boiler(r.choice(["ad", "form", "side", "note", "talk"])))
-        main = element(r.choice(_MAIN), "".join(parts), "1")
+        main = element(r.choice(mine(_MAIN)), "".join(parts), "1")
         if r.random() < 0.3:
             main = f"<div class=\"{r.choice(['wrapper', 'container', 'row', 'page', 'layout'])}\">{main}</div>"
         above = [boiler(k) for k in ("head", "nav", "note", "ad", "form", "side") if r.random() < 0.5]
@@ -340,14 +355,14 @@ def default_model() -> TreeModel:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages`` (with ``html``)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = default_model()
         for batch in batches:
-            texts = [model.extract(page) for page in batch["html"]]
-            yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
+            texts = [model.extract(page.as_py()) for page in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    key = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {key}, url string, text string, n_chars long")
+    kinds = [pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+    return pages.select("page_id", "url", "html").mapInArrow(run, T.StructType(kinds))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

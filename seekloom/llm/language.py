@@ -19,8 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import free_name, table
 
@@ -28,7 +30,7 @@ BUCKETS = 1 << 16
 PER_LANGUAGE = 4000
 #: Code points that are put into one numpy pass.
 PASS = 1 << 21
-LARGEST_MATRIX = 256 << 20
+LARGEST_MATRIX = 64 << 20
 
 _alpha: np.ndarray | None = None
 
@@ -83,7 +85,7 @@ def sample(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE)
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     share = rows.groupBy("lang").count().select(F.col("lang").alias("__lang"), (F.lit(per_language) / F.col("count")).alias("__share"))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(F.broadcast(share), rows["lang"] == share["__lang"]).where(place < F.col("__share")).select("lang", "text")
+    return rows.join(share, rows["lang"] == share["__lang"]).where(place < F.col("__share")).select("lang", "text")
 
 
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -101,10 +103,11 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             seen = seen[seen % (BUCKETS + 1) < BUCKETS]
             yield pd.DataFrame({"lang": names[seen // (BUCKETS + 1)], "bucket": (seen % (BUCKETS + 1)).astype(np.int32), "n": total[seen]})
 
-    counts = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(counts["lang"].unique())
-    if (BUCKETS + 1) * 4 * len(names) > LARGEST_MATRIX:
+    most = LARGEST_MATRIX // ((BUCKETS + 1) * 4)
+    if rows.select("lang").distinct().limit(most + 1).count() > most:  # before anything is collected
         raise ValueError("too many languages for a broadcast matrix")
+    counts = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    names = sorted(counts["lang"].unique())
     matrix = np.full((BUCKETS, len(names)), 0.5)
     matrix[counts["bucket"].to_numpy(), np.searchsorted(names, counts["lang"]) if names else []] += counts["n"].to_numpy()
     if names:
@@ -117,13 +120,13 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, column: str =
     """``docs`` with ``lang_pred`` and ``score``, the posterior of that language."""
     model = docs.sparkSession.sparkContext.broadcast((names, matrix))
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at_text = docs.columns.index(column)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs = model.value
         for batch in batches:
-            best, sure = ["und"] * len(batch), np.zeros(len(batch))
-            for at, texts in _passes(batch[column].tolist()) if langs else ():
+            best, sure = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            for at, texts in _passes(batch.column(at_text).to_pylist()) if langs else ():
                 buckets, starts, lettered = _grams(texts)
                 sums = np.empty((len(texts), len(langs)))
                 for k in range(len(langs)):
@@ -134,9 +137,9 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, column: str =
                 posterior = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
                 for i in np.flatnonzero(lettered):
                     best[at + i], sure[at + i] = langs[top[i]], posterior[i]
-            yield batch.assign(**{pred: best, score: sure})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(sure)], [*batch.schema.names, pred, score])
 
-    return docs.mapInPandas(run, f"{fields}, `{pred}` string, `{score}` double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

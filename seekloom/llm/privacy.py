@@ -8,8 +8,7 @@ within ``WINDOW`` words of the entity. A word discloses the entity if that is at
 ``DISCLOSURE`` of the entity's own information ``ln(N / n(e))``. The share ``n(t,e) / n(t)`` in it is
 shrunk towards chance, ``n(e) / N``, by ``PRIOR`` documents, so few documents weigh less than
 many and yet decide, for an entity of one document too. Such words are found in all
-documents and generalised (to their first letter's case and length class) or
-removed; the entities are replaced by their kind.
+documents and generalised to whether they are long; the entities are replaced by their kind.
 
 Positions come from cutting a text at its matches: the gaps and matches alternate, so
 their lengths add up to code-point offsets, without a Python function.
@@ -25,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Folder, free_name, sized, table
+from ._shared import Folder, free_name, let, running, sized, table
 
 # Each pattern finds what the plain one beside it finds. A run that has failed once isn't tried
 # again from its middle, and nothing is given back, so long runs take linear time.
@@ -41,6 +40,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+#: Stands around matches while a text is cut; texts may have it too.
+MARK = "\x01"
 WORD = r"[\p{L}\p{M}]{3,}"
 WINDOW = 8
 #: Code points on a side that are looked at first, and next; then all of them are.
@@ -50,22 +51,20 @@ DISCLOSURE, PRIOR = 0.9, 0.5
 
 def matches(text: Column, pattern: Column) -> Column:
     """Non-overlapping matches, leftmost first: an array of ``(start, end, value)`` in code points."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
     nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    laid = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), nothing.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) > 0, laid).otherwise(nothing)
+
+    def laid(pieces: Column) -> Column:
+        """Of gaps and matches in turn."""
+        placed = F.arrays_zip(pieces.alias("value"), running(F.transform(pieces, F.length)).alias("end"))
+        found = F.filter(placed, lambda x, i: i % 2 == 1)
+        return F.transform(found, lambda x: F.struct((x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+
+    quick = F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    # a text that has the mark itself is cut and searched apart
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    slow = F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.concat(found, F.array(F.lit(""))).alias("value")), lambda x: F.array(x["gap"], x["value"])))
+    # one search that ends at the first match is all that a text without one costs
+    return F.when(F.rlike(text, pattern), let(F.when(F.contains(text, F.lit(MARK)), slow).otherwise(quick), laid)).otherwise(nothing)
 
 
 def _digits(value: Column) -> Column:
@@ -154,9 +153,12 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE
 
     ``found`` has ``doc, text, base``; ``docs`` has the ``text`` of all documents.
     """
-    mentions = found.where(F.size("base") > 0).select("doc", "text", F.explode("base").alias("s"))
-    entity = F.concat_ws(":", F.col("s.rank").cast("string"), F.when(F.col("s.rank") == 0, F.lower("s.value")).when(F.col("s.rank") == 1, F.col("s.value")).otherwise(_digits(F.col("s.value"))))
-    mentions = mentions.select("doc", F.xxhash64(entity).alias("entity"), _near(F.col("text"), F.col("s")).alias("terms"))
+    def mention(s: Column) -> Column:
+        value = F.when(s["rank"] == 0, F.lower(s["value"])).when(s["rank"] == 1, s["value"]).otherwise(_digits(s["value"]))
+        return F.struct(F.xxhash64(F.concat_ws(":", s["rank"].cast("string"), value)).alias("entity"), _near(F.col("text"), s).alias("terms"))
+
+    # the text itself doesn't ride on the rows of its spans
+    mentions = found.where(F.size("base") > 0).select("doc", F.explode(F.transform("base", mention)).alias("m")).select("doc", "m.*")
     # the entity itself is counted by the empty term, so one pass gives n(e) and n(t, e)
     pairs = mentions.select("doc", "entity", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     pairs = Folder(docs.sparkSession, "privacy").cut(pairs)
@@ -185,22 +187,23 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR)
     last; if ``docs`` has their names, they get underscores in front.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("__base", base_spans(text))
-    keyed = found.select(F.xxhash64("doc_id", "text").alias("doc"), text.alias("text"), F.col("__base").alias("base"))
+    base, spans, doc, words = (free_name(docs, name) for name in ("base", "spans", "hit_doc", "hit_terms"))
+    found = docs.withColumn(base, base_spans(text))
+    keyed = found.select(F.xxhash64("doc_id", "text").alias("doc"), text.alias("text"), F.col(base).alias("base"))
     terms = disclosing(keyed.where(F.size("base") > 0), docs, disclosure, prior)
     # documents with such words, few or none of most, and for each the words it has
-    hits = docs.select(F.xxhash64("doc_id", "text").alias("__doc"), F.explode(_vocabulary(F.col("text"))).alias("term")).join(sized(terms), "term")
-    hits = sized(hits.groupBy("__doc").agg(F.array_sort(F.collect_set("term")).alias("__terms")))
-    joined = found.join(hits, F.xxhash64("doc_id", "text") == F.col("__doc"), "left")
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join("__terms", "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    hits = docs.select(F.xxhash64("doc_id", "text").alias(doc), F.explode(_vocabulary(F.col("text"))).alias("term")).join(sized(terms), "term")
+    hits = sized(hits.groupBy(doc).agg(F.array_sort(F.collect_set("term")).alias(words)))
+    joined = found.join(hits, F.xxhash64("doc_id", "text") == F.col(doc), "left")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{M}])"))
     lowered = F.lower(text)
     # where lower-casing changes the length, offsets are those of a case-insensitive search instead
     same = F.length(lowered) == F.length(text)
     spotted = F.when(same, matches(lowered, pattern)).otherwise(matches(text, F.concat(F.lit("(?iu)"), pattern)))
-    extra = F.when(F.col("__terms").isNotNull(), _ranked(spotted, len(KINDS))).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>"))
+    extra = F.when(F.col(words).isNotNull(), _ranked(spotted, len(KINDS))).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>"))
     # words inside an entity are covered by its span already
-    free = F.filter(extra, lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return joined.select(*[found[c] for c in docs.columns], F.col("__base").alias(free_name(docs, "base")), F.array_sort(F.concat("__base", free)).alias(free_name(docs, "spans")))
+    free = F.filter(extra, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return joined.select(*[f"`{c}`" for c in docs.columns], base, F.array_sort(F.concat(base, free)).alias(spans))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -231,12 +234,12 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised, and ``n_chars`` to match if there is one."""
-    spans = free_name(docs, "spans")
-    made = find(docs).withColumn("__out", sanitised(F.col("text"), F.col(spans)))
-    out = {"text": F.col("__out")}
+    spans, clean = free_name(docs, "spans"), free_name(docs, "clean_text")
+    made = find(docs).withColumn(clean, sanitised(F.col("text"), F.col(spans)))
+    out = {"text": F.col(clean)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.size(spans) > 0, F.length("__out").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return made.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+        out["n_chars"] = F.when(F.size(spans) > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return made.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,14 +28,17 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import table
 
 CHAIN = 2
+#: Ranges that rows of null ids are dealt into, and ids that are collected for each range to cut a table of string ids.
+NULL_RANGES, SAMPLED_IDS = 16, 100
 #: Common words of English, German, French and Spanish.
 COMMON = frozenset(
     "a an and are as at be been but by can could did do for from had has have he her his if in into is it its no not of on or our "
@@ -113,19 +116,28 @@ def _part(cuts: list[int]) -> Column:
     runs = [cuts[i : i + step] for i in range(0, len(cuts), step)] or [[]]
     key = F.col("doc_id")
     if not cuts:
-        return F.when(key.isNull(), 1).otherwise(0)
+        return F.lit(0)
     firsts = F.array(*[F.lit(r[-1]) for r in runs])  # a run is passed if its last cut is above the id
     passed = F.size(F.filter(firsts, lambda c: c > key))
     within = F.get(F.array(*[F.array(*[F.lit(c) for c in r]) for r in runs]), F.least(passed, F.lit(len(runs) - 1)))
     inside = F.when(passed < len(runs), F.size(F.filter(within, lambda c: c > key))).otherwise(0)
-    return F.when(key.isNull(), len(cuts) + 1).otherwise(passed * step + inside)
+    return passed * step + inside
 
 
-def _quantiles(ids: DataFrame, ranges: int) -> list[int]:
-    if ranges < 2 or dict(ids.dtypes)["doc_id"] not in ("bigint", "int", "smallint", "tinyint"):
+def _quantiles(ids: DataFrame, ranges: int) -> list:
+    """Ids that cut the table into about as many ranges of equal size; none for types that aren't numbers or strings."""
+    kind = ids.schema["doc_id"].dataType
+    if ranges < 2:
         return []
-    marks = F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)
-    return sorted(set(ids.agg(marks.alias("q")).head()["q"] or []))
+    if isinstance(kind, T.NumericType):
+        marks = F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)
+        return sorted(set(ids.agg(marks.alias("q")).head()["q"] or []))
+    if isinstance(kind, T.StringType):  # from a sample whose size doesn't depend on the table's
+        known = ids.where("doc_id IS NOT NULL")
+        wanted, total = SAMPLED_IDS * ranges, known.count()
+        sample = sorted(r[0] for r in (known.sample(wanted / total, seed=5) if total > wanted else known).limit(2 * wanted).collect())
+        return sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
+    return []
 
 
 def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -133,28 +145,32 @@ def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
     The edited text has the last half of the code points replaced by as many of the next
     document's first ones. ``ranges`` is the number of id ranges (the session's
-    number of shuffle partitions, if not given).
+    number of shuffle partitions, if not given); rows of null ids are dealt into ranges of their texts' hashes.
     """
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     cuts = _quantiles(rows.select("doc_id"), ranges)
-    placed = rows.withColumn("part", _part(cuts))
-    # one row for each range, however long the table is
-    heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+    parts = len(cuts) + 1 + NULL_RANGES
+    blank = F.lit(len(cuts) + 1) + (F.shiftright("key", 60) + NULL_RANGES // 2).cast("int")
+    placed = rows.withColumn("part", F.when(F.col("doc_id").isNull(), blank).otherwise(_part(cuts)).cast("int"))
+    # one row for each range, however long the table is: its first id, and of rows that repeat it the least hash
+    first = F.max(F.struct("doc_id", F.bitwise_not("key").alias("back")))
+    heads = {r["part"]: (r["head"]["doc_id"], ~r["head"]["back"]) for r in placed.groupBy("part").agg(first.alias("head")).collect()}
     order = sorted(heads)
-    follows = [(heads[order[(k + 1) % len(order)]], p) for k, p in enumerate(order)]
-    key = docs.schema["doc_id"].dataType.simpleString()
-    after = spark.createDataFrame(follows, f"__id {key}, __part int")
-    seconds = rows.join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", F.col("__part").alias("part"))
+    follows = [(*heads[order[(k + 1) % len(order)]], p) for k, p in enumerate(order)]
+    after = spark.createDataFrame(follows, T.StructType([T.StructField("of", docs.schema["doc_id"].dataType), T.StructField("of_key", T.LongType()), T.StructField("part", T.IntegerType())]))
+    seconds = rows.join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))).select("doc_id", "text", "key", "part")
+    # a repeated row may come several times as a range's successor, and any of them does
     both = placed.withColumn("last", F.lit(False)).unionByName(seconds.withColumn("last", F.lit(True)))
-    dealt = both.repartition(ranges, "part").sortWithinPartitions("part", "last", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    dealt = both.repartitionById(parts, F.col("part")).sortWithinPartitions("last", F.desc_nulls_last("doc_id"), "key").select("doc_id", "text", "last")
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the row that waits for its successor: (id, text, part, signatures)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the row that waits for its successor: (id, text, signatures)
         for batch in batches:
             made = []
-            for id_, text, part, last in zip(batch["doc_id"].tolist(), batch["text"].tolist(), batch["part"].tolist(), batch["last"].tolist(), strict=True):
+            for id_, text, last in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if last and held is None:
                     continue
                 text = text or ""
@@ -163,9 +179,11 @@ def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                     made.append(_row(*held, text, marks))
                 held = None if last else (id_, text, marks)
             if made:
-                yield pd.DataFrame(made, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": batch["doc_id"].dtype if key == "bigint" and batch["doc_id"].notna().all() else object})
+                kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*made, strict=True), kinds, strict=True)], names)
 
-    return dealt.mapInPandas(run, f"doc_id {key}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    kinds = [T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType()]
+    return dealt.mapInArrow(run, T.StructType([docs.schema["doc_id"], *[T.StructField(n, kind) for n, kind in zip(names[1:], kinds, strict=True)]]))
 
 
 def _row(id_, text: str, marks: frozenset[int], next_text: str, next_marks: frozenset[int]) -> tuple:
@@ -173,8 +191,7 @@ def _row(id_, text: str, marks: frozenset[int], next_text: str, next_marks: froz
     edited = text[: len(text) - half] + next_text[:half]
     edited_marks = signatures(edited)
     sha = hashlib.sha256(edited.encode()).hexdigest()
-    missing = id_ is None or id_ != id_
-    return None if missing else id_, len(text), sha, fingerprint(marks), fingerprint(edited_marks), likeness(marks, edited_marks), likeness(marks, next_marks)
+    return id_, len(text), sha, fingerprint(marks), fingerprint(edited_marks), likeness(marks, edited_marks), likeness(marks, next_marks)
 
 
 def op8_spots(spark: SparkSession, sf_dir: str) -> DataFrame:

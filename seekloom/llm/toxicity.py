@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-A word's embedding is the sum of one row of each of four tables, picked by two
-hashes of the lower-cased word and one each of its first four and five letters
+A word's embedding is the sum of one row of each of four tables, picked by hashes
+of the lower-cased word and of its first four, five and six letters
 (so that forms of a word share what is learned of one). Filters of ``WIDTHS`` words slide over the whole text,
 each filter's largest activation is kept (max pooling), and a logistic unit reads
 those. Training takes a bounded sample of labelled rows; a held-back part of the
@@ -12,8 +12,8 @@ Inference is cheap because a filter is linear in the embeddings: for each positi
 in the filter the product of a word's embedding is looked up, summed and pooled.
 
 Defined cases: null and wordless texts pool to zero and get the score of that;
-labels other than 0 and 1 and null ids are not learned from; a label table with
-repeated ids gives as many training rows; with no usable row of either class every
+labels other than 0 and 1 and null ids are not learned from; a label that is repeated
+counts once, and of rows that repeat an id the one of the least text is learned from; with no usable row of either class every
 score is the share of toxic labels seen (0 if none); other columns, whatever their
 names, pass through; a language without enough labels gets the common threshold.
 """
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ._shared import free_name, table, words
 
 BUCKETS, HASHES, DIM = 1 << 16, 4, 8
+PREFIXES = (4, 5, 6)
 WIDTHS, FILTERS = (1, 2, 3), 8
 #: The bound of the training sample: rows of each class, and words of a sampled row.
 PER_CLASS, SAMPLE_WORDS = 2500, 3000
@@ -56,13 +57,13 @@ class Model:
 
 
 def hashed(text: Column) -> Column:
-    """One long for each lower-cased word: 32 bits of the word's hash, 16 of each prefix's."""
+    """One long for each lower-cased word: 16 bits each of the word's hash and its prefixes'."""
 
     def packed(word: Column) -> Column:
-        whole = F.xxhash64(word).bitwiseAND(F.lit(0xFFFFFFFF))
-        four = F.shiftleft(F.hash(F.substring(word, 1, 4)).cast("long").bitwiseAND(F.lit(0xFFFF)), 32)
-        five = F.shiftleft(F.hash(F.substring(word, 1, 5)).cast("long"), 48)
-        return whole.bitwiseOR(four).bitwiseOR(five)
+        bits = F.xxhash64(word).bitwiseAND(F.lit(0xFFFF))
+        for k, size in enumerate(PREFIXES, 1):
+            bits = bits.bitwiseOR(F.shiftleft(F.hash(F.substring(word, 1, size)).cast("long").bitwiseAND(F.lit(0xFFFF)), 16 * k))
+        return bits
 
     return F.transform(words(text, lower=F.lower(text)), packed)
 
@@ -212,23 +213,26 @@ def scores(model: Model, texts: list) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = PER_CLASS) -> Model:
     """Sample labelled rows of ``docs`` (ids with null or true ``held_out`` never) and train."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    known = known.where(~F.coalesce(held_out, F.lit(True)))
+    known = known.where(~F.coalesce(held_out, F.lit(True))).distinct()
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.when(F.col("toxic") == 1, per_class / max(counts.get(1, 0), 1)).otherwise(per_class / max(counts.get(0, 0), 1))
-    chosen = known.where(place < share)  # about per_class rows of each class, whatever the table's size
+    # about per_class rows of each class, whatever the table's size, and never more than this
+    chosen = known.withColumn("place", place).where(F.col("place") < share).orderBy("place", "doc_id", "toxic").limit(3 * per_class)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     # the sample is taken before its words are hashed
-    rows = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("doc_id", "toxic", "lang", hashed(F.col("text")).alias("h")).where(F.size("h") <= SAMPLE_WORDS).select("doc_id", "toxic", "lang", "h").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-    if rows["toxic"].nunique() < 2:
+    rows = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("r"))
+    rows = rows.select("doc_id", "toxic", "r.lang", hashed(F.col("r.text")).alias("h")).where(F.size("h") <= SAMPLE_WORDS)
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    labels_ = rows.column("toxic").to_numpy().astype(np.int64)
+    if len(set(labels_.tolist())) < 2:
         model = train([], np.zeros(0), [], prior)
         model.weights[:], model.bias = 0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
         return model
-    return train([np.asarray(h, np.int64) for h in rows["h"]], rows["toxic"].to_numpy(), rows["lang"].tolist(), prior)
+    hashes = [h.values.to_numpy() for h in rows.column("h")]
+    return train(hashes, labels_, rows.column("lang").to_pylist(), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -259,9 +263,9 @@ def held_out_rows() -> Column:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn(docs, labels, held_out_rows())
-    narrow = docs.select("doc_id", F.coalesce(held_out_rows(), F.lit(False)).alias("held_out"), "text")
+    narrow = docs.select("doc_id", F.coalesce(held_out_rows(), F.lit(False)).alias("held_out"), "text", "lang")
     made = score(narrow, model)
-    return made.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return made.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.col("toxic_here").cast("int").alias("predicted_by_language"))
 
 
 QUERIES = {"op3_toxicity": op3_toxicity}

@@ -24,6 +24,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import zstandard
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Folder, scratch, sized, table
+from ._shared import Folder, remove, scratch, sized, table
 
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 10, 6 << 20
@@ -42,7 +43,12 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _id(page: str | None) -> str:
-    return f"<urn:x-page:{'null' if page is None else page}>"
+    """A record's name; a missing id has one that no id gets."""
+    return "<urn:x-page>" if page is None else f"<urn:x-page:{quote(page, safe='')}>"
+
+
+def _page(name: str | None) -> str | None:
+    return unquote(name[len("<urn:x-page:") : -1]) if name and name != _id(None) else None
 
 
 def record(page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> bytes:
@@ -176,7 +182,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 def read(manifest: DataFrame, key: str = "bigint") -> DataFrame:
     """A row per record of the manifest's archives.
 
-    ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``; a response's
+    ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``, ids of the type ``key``; a response's
     length and digest are computed from its body, and a wrong digest is an error.
     """
 
@@ -191,8 +197,8 @@ def read(manifest: DataFrame, key: str = "bigint") -> DataFrame:
                     size = int(http.rpartition(b"Content-Length: ")[2])
                     if not revisit and (size != len(body) or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
                         raise ValueError(f"a record of {path} has another payload than its digest")
-                    page, first = (headers.get(k, "<urn:x-page:null>")[12:-1] for k in ("WARC-Record-ID", "WARC-Refers-To"))
-                    rows.append((None if page == "null" else page, headers.get("WARC-Target-URI"), size, digest, headers["WARC-Type"], None if first == "null" else first))
+                    page, first = (_page(headers.get(k)) for k in ("WARC-Record-ID", "WARC-Refers-To"))
+                    rows.append((page, headers.get("WARC-Target-URI"), size, digest, headers["WARC-Type"], first))
                 yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     archives = max(1, manifest.count())
@@ -202,8 +208,11 @@ def read(manifest: DataFrame, key: str = "bigint") -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
-    return read(manifest).drop("url")
+    pages, folder = table(spark, sf_dir, "pages"), scratch(spark, "warc")
+    manifest = write(pages, folder)
+    made = Folder(spark, "records").cut(read(manifest, pages.schema["page_id"].dataType.simpleString()).drop("url"))
+    remove(spark, folder)
+    return made
 
 
 SQL = {

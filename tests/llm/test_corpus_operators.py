@@ -35,7 +35,7 @@ def test_a_version_is_committed_once(spark, tmp_path):
     store = shards.Store(spark, str(tmp_path / "store"))
     store.append(edge_docs(spark))
     with pytest.raises(Exception, match="exist"):
-        store._commit(1, [])
+        store._commit(1, [], None)
     assert store.read(1).count() == edge_docs(spark).count()
     store.append(empty_docs(spark).limit(0))
     assert store.versions() == [1, 2]
