@@ -33,6 +33,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is neither markup nor text of the page: it ends at the first end tag.
 RAW = frozenset("script style textarea title iframe noembed select".split())
+#: Old elements that are as another.
+ALIKE = {"xmp": "pre", "listing": "pre", "noframes": "object"}
 #: What these hold is not shown as text; they end where as many end tags as start tags of theirs have come.
 HIDDEN = frozenset("svg template".split())
 #: A start tag of the key closes an open element of the value, if no element of the last group is between.
@@ -111,7 +113,7 @@ def parse(page: str) -> list[Node]:
         at = found.end()
         closing, opening = found[1], found[2]
         if closing:
-            tag = closing.lower()
+            tag = ALIKE.get(closing.lower(), closing.lower())
             if tag == "br":
                 run.append(" ")
             elif tag == "p" and all(t != "p" for t, _ in stack):
@@ -125,7 +127,7 @@ def parse(page: str) -> list[Node]:
                     if tag in INLINE and stack[k][0] not in INLINE:
                         break
         elif opening:
-            tag = opening.lower()
+            tag = ALIKE.get(opening.lower(), opening.lower())
             if tag in RAW:
                 ended = _raw_end[tag].search(page, at)
                 at = ended.end() if ended else end

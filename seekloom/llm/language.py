@@ -29,7 +29,7 @@ from ._shared import free_name, table
 BUCKETS = 1 << 16
 PER_LANGUAGE = 4000
 #: Code points that are put into one numpy pass.
-PASS = 1 << 21
+PASS = 1 << 19
 LARGEST_MATRIX = 64 << 20
 
 _alpha: np.ndarray | None = None

@@ -42,7 +42,7 @@ SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 COMPONENTS = BANDS * ROWS
 #: Elements of texts that are signed in one numpy pass.
-PASS = 1 << 18
+PASS = 1 << 16
 #: A block holds at most about so many runs of words, and so many texts.
 BLOCK_RUNS, BLOCK_TEXTS = 1 << 18, 2048
 #: Columns of a block's matrix at a time.

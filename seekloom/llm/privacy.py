@@ -56,7 +56,7 @@ def matches(text: Column, pattern: Column) -> Column:
     def laid(pieces: Column) -> Column:
         """Of gaps and matches in turn."""
         placed = F.arrays_zip(pieces.alias("value"), running(F.transform(pieces, F.length)).alias("end"))
-        found = F.filter(placed, lambda x, i: i % 2 == 1)
+        found = F.filter(placed, lambda x, i: (i % 2 == 1) & (F.length(x["value"]) > 0))
         return F.transform(found, lambda x: F.struct((x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
     quick = F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)

@@ -215,7 +215,7 @@ class Store:
                 status = found.next()
                 files.append((status.getPath(), status.getModificationTime() / 1000))
         for path, changed in files:
-            if path.toString() not in listed and time.time() - changed >= age_seconds and self._fs.delete(path, False):
+            if path.getName().endswith(".parquet") and path.toString() not in listed and time.time() - changed >= age_seconds and self._fs.delete(path, False):
                 gone.append(path.toString())
         return sorted(gone)
 

@@ -41,7 +41,7 @@ LEAST_TEXTS = 4
 THRESHOLD = 0.3
 LEAST_PER_LANGUAGE = 30
 #: Words that are scored in one numpy pass.
-PASS = 1 << 20
+PASS = 1 << 17
 
 
 @dataclass
