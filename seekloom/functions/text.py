@@ -173,22 +173,22 @@ def unit_offsets(files: DataFrame, text: str = "text", file_id: str = "doc_id")
     return made.select("file_id", (F.col("n") + 1).alias("line_number"), "start", (F.col("start") + F.octet_length(F.regexp_replace("raw", r"\r\z", ""))).cast("long").alias("end"))
 
 
-def literal_offsets(folded: Column, needle: str, measure=F.octet_length) -> Column:
-    """Offsets of all starts of ``needle``, overlapping ones too: in bytes, or in what ``measure`` counts.
-
-    The text is cut before each start, which takes one pass; the lengths of the pieces add up to the offsets.
-    """
-    quoted = "".join(f"\\{c}" if c.isascii() and not c.isalnum() else c for c in needle)
-    pieces = F.split(folded, f"(?={quoted})", -1)
-    nothing = F.array().cast("array<int>")
-    first = F.when(F.startswith(folded, F.lit(needle)), F.array(F.lit(0))).otherwise(nothing)
-    laid = F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        F.struct(F.lit(0).alias("at"), nothing.alias("out")),
-        lambda acc, x: F.struct((acc["at"] + measure(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + measure(x))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.concat(first, laid)
+def block_sizes(text: Column, limit: int) -> Column:
+    """Blocks of a text's lines, packed in order up to ``limit`` bytes each: ``units, bytes``. A larger line is a block of its own."""
+    sizes = F.transform(F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1), lambda x: (F.octet_length(x) + 1).cast("long"))
+    one = lambda n, b: F.struct(n.alias("units"), b.alias("bytes"))
+    empty = F.array().cast("array<struct<units:bigint,bytes:bigint>>")
+
+    def put(acc: Column, size: Column) -> Column:
+        full = acc["filled"] + size > limit
+        return F.struct(
+            F.when(full & (acc["n"] > 0), F.concat(acc["done"], F.array(one(acc["n"], acc["filled"])))).otherwise(acc["done"]).alias("done"),
+            F.when(full, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"),
+            F.when(full, size).otherwise(acc["filled"] + size).alias("filled"),
+        )
+
+    start = F.struct(empty.alias("done"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("filled"))
+    return F.aggregate(sizes, start, put, lambda acc: F.concat(acc["done"], F.array(one(acc["n"], acc["filled"]))))
 
 
 # --- paths and presentation ------------------------------------------------

@@ -1,29 +1,91 @@
 """Tables of n-grams that prune a search without deciding any result.
 
-A gram is so many bytes of a unit's normalised text. The tables have a row per
-different gram and block, so a literal's candidates are the blocks that have all its
-grams: a semi-join, with the rarest grams first.
+Units are packed in order into blocks. A gram is so many bytes of a unit's normalised text, as a number that has
+its width in the upper bits; the tables have a row per different gram and block. Grams of few blocks, as
+many as a share of the source pays for, are the postings that are kept; of all grams only whether they occur is. A literal
+can stand only in blocks that have all its kept grams, so a search reads a bounded list of blocks, or none at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalise_query
+from .search import text_bytes
 
 # Fixed values of the pruning layer.
+BLOCK_BYTES = 1 << 20
 WIDTH = 3
 RARE_DF = 64
-SPARSE_SHARE = 0.015
+#: Shares of the source that the postings of three bytes, and those of four and five, may take.
+SHARES = {3: 0.010, 4: 0.0025, 5: 0.0025}
+POSTING_BYTES = 4
+
+
+def packed(units: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+    """``units`` with ``block_id``: each task packs its units in order; one that is larger than ``limit`` is a block of its own."""
+    at = units.columns.index("folded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            made = np.empty(batch.num_rows, np.int64)
+            _, ends = text_bytes(batch.column(at))
+            for k, size in enumerate(np.diff(ends).tolist()):
+                if filled and filled + size + 1 > limit:
+                    block, filled = block + 1, 0
+                filled += size + 1
+                made[k] = block
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], [*batch.schema.names, "block_id"])
+
+    return units.mapInArrow(run, T.StructType([*units.schema.fields, T.StructField("block_id", T.LongType(), False)]))
+
+
+def code(data: bytes) -> int:
+    """A gram as a number: its width, then its bytes."""
+    return len(data) << 56 | int.from_bytes(data, "big")
+
+
+def shown(gram: Column, width: int = WIDTH) -> Column:
+    """A gram's bytes in hexadecimal."""
+    return F.right(F.hex(gram), F.lit(2 * width))
 
 
 def grams(units: DataFrame, width: int = WIDTH, block: str = "file_id") -> DataFrame:
-    """``gram, block_id``, each pair once. Grams are bytes, in hexadecimal."""
-    raw = F.encode(F.col("folded"), "UTF-8")
-    n = F.octet_length("folded") - width + 1
-    each = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.hex(F.substring(raw, i, F.lit(width))))))
-    return units.select(F.explode(each).alias("gram"), F.col(block).alias("block_id")).distinct()
+    """``gram, block_id``, each pair once.
+
+    A batch's texts are one run of bytes, whose windows are numbers; a block that several batches share is merged by a shuffle of
+    what is left, which is a small part of the text.
+    """
+    if not 1 <= width <= 5:
+        raise ValueError("grams have one to five bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = text_bytes(batch.column(1))
+            raw, blocks = np.frombuffer(data, np.uint8).astype(np.int64), batch.column(0).dictionary_encode()
+            n = len(raw) - width + 1
+            if n <= 0:
+                continue
+            value = np.zeros(n, np.int64)
+            for k in range(width):
+                value = value << 8 | raw[k : k + n]
+            unit = np.repeat(np.arange(batch.num_rows), np.diff(ends))[:n]
+            inside = np.arange(n) + width <= ends[unit + 1]
+            owner = blocks.indices.to_numpy().astype(np.int64)[unit[inside]]
+            both = np.unique(owner << 8 * width | value[inside])
+            which, value = both >> 8 * width, both & ((1 << 8 * width) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(value | width << 56), blocks.dictionary.take(pa.array(which))], ["gram", "block_id"])
+
+    rows = units.where("folded IS NOT NULL").select(F.col(block).alias("block_id"), "folded")
+    return rows.mapInArrow(run, T.StructType([T.StructField("gram", T.LongType()), rows.schema["block_id"]])).distinct()
 
 
 def document_frequency(table: DataFrame, most: int = RARE_DF + 1) -> DataFrame:
@@ -36,10 +98,10 @@ def rarest(frequencies: DataFrame, pool: int) -> DataFrame:
     return frequencies.orderBy("df", "gram").limit(pool)
 
 
-def needed(query: str, width: int = WIDTH, case_sensitive: bool = False) -> list[str]:
+def needed(query: str, width: int = WIDTH, case_sensitive: bool = False) -> list[int]:
     """The different grams that any text with the query has."""
     data = normalise_query(query, case_sensitive).encode()
-    return sorted({data[i : i + width].hex().upper() for i in range(len(data) - width + 1)})
+    return sorted({code(data[i : i + width]) for i in range(len(data) - width + 1)})
 
 
 def candidates(table: DataFrame, query: str, width: int = WIDTH, case_sensitive: bool = False) -> DataFrame | None:
@@ -68,8 +130,71 @@ def budget(frequencies: DataFrame, limit_rows: int) -> DataFrame:
     return frequencies.join(F.broadcast(kept), "df", "left_semi")
 
 
-def capacity(units: DataFrame, table: DataFrame) -> DataFrame:
-    """One row: source bytes, grams, posting rows, and how many bytes of postings a source byte takes."""
-    source = units.agg(F.sum(F.octet_length("raw") + 1).cast("long").alias("source_bytes"))
-    index = table.agg(F.countDistinct("gram").alias("grams"), F.count("*").alias("postings"))
-    return source.withColumn("one", F.lit(1)).join(F.broadcast(index.withColumn("one", F.lit(1))), "one").drop("one").withColumn("ratio", F.when(F.col("source_bytes") == 0, 0.0).otherwise(F.col("postings") * 4.0 / F.col("source_bytes")))
+def budget_greedy(frequencies: DataFrame, limit_rows: int) -> DataFrame:
+    """The same, but a class that doesn't fit is left out and later ones may still fit. Classes are at most ``RARE_DF`` rows."""
+    classes = frequencies.where(F.col("df") <= RARE_DF).groupBy("df").agg((F.count("*") * F.col("df")).alias("rows")).orderBy("df").collect()
+    left, kept = limit_rows, []
+    for row in classes:
+        if row["rows"] <= left:
+            left -= row["rows"]
+            kept.append(row["df"])
+    return frequencies.where(F.col("df").isin(kept) if kept else F.lit(False))
+
+
+class Index:
+    """Kept postings and the grams that occur, for units with ``block_id``."""
+
+    def __init__(self, postings: DataFrame, present: DataFrame) -> None:
+        self.postings, self.present = postings, present
+
+    @classmethod
+    def build(cls, units: DataFrame, source_bytes: int, shares: dict[int, float] | None = None) -> dict[str, DataFrame]:
+        """``postings`` (``gram, block_id``) and ``present`` (``gram, df``), in order of grams so that few of their pages are read.
+
+        Of grams of four and five bytes only those kept are stored; of three all are, so a gram that nothing has ends a search.
+        """
+        postings, present = [], []
+        for width, share in (SHARES if shares is None else shares).items():
+            table = grams(units, width, "block_id").persist()
+            df = document_frequency(table)
+            kept = budget(df, int(source_bytes * share / POSTING_BYTES)).select("gram")
+            postings.append(table.join(kept, "gram"))
+            if width == WIDTH:
+                present.append(df)
+        merge = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(merge(tables[1:]))
+        return {"postings": merge(postings).select("gram", "block_id").orderBy("gram"), "present": merge(present).orderBy("gram")}
+
+    def blocks(self, query: str, case_sensitive: bool = False) -> list[int] | None:
+        """The blocks that can have the query; None if all can. At most ``RARE_DF`` of them, as each kept gram is in no more."""
+        short = needed(query, WIDTH, case_sensitive)
+        if not short:
+            return None
+        if self.present.where(F.col("gram").isin(short)).count() < len(short):
+            return []
+        wanted = short + needed(query, 4, case_sensitive) + needed(query, 5, case_sensitive)
+        found: dict[int, set[int]] = {}
+        for row in self.postings.where(F.col("gram").isin(wanted)).collect():  # at most RARE_DF rows for each gram of the query
+            found.setdefault(row["gram"], set()).add(row["block_id"])
+        return sorted(set.intersection(*found.values())) if found else None
+
+    def pruned(self, units: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
+        """The units of those blocks: a list that the scan of stored units takes as a filter."""
+        blocks = self.blocks(query, case_sensitive) if query else None
+        if blocks is None:
+            return units
+        return units.where(F.col("block_id").isin(blocks) if blocks else F.lit(False))
+
+
+def capacity(units: DataFrame, table: DataFrame, share: float = SHARES[WIDTH]) -> DataFrame:
+    """One row: source bytes, grams, posting rows, those that the budget keeps, and the bytes of these for each source byte."""
+    source = units.agg(F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)).cast("long").alias("source_bytes"))
+    df = document_frequency(table)
+    classes = df.groupBy("df").agg(F.count("*").alias("grams"))
+    # classes are at most RARE_DF + 1 rows
+    rows = classes.join(F.broadcast(source)).withColumn("rows", F.when(F.col("df") <= RARE_DF, F.col("grams") * F.col("df")).otherwise(0))
+    total = rows.withColumn("total", F.sum("rows").over(Window.orderBy("df")))
+    fits = (F.col("df") <= RARE_DF) & (F.col("total") <= F.floor(F.col("source_bytes") * F.lit(share) / POSTING_BYTES))
+    kept = total.agg(F.coalesce(F.sum("grams"), F.lit(0)).cast("long").alias("grams"), F.coalesce(F.sum(F.when(fits, F.col("rows"))), F.lit(0)).cast("long").alias("kept_postings"))
+    postings = table.agg(F.count("*").alias("postings"))
+    out = source.join(F.broadcast(kept)).join(F.broadcast(postings))
+    return out.withColumn("ratio", F.when(F.col("source_bytes") == 0, 0.0).otherwise(F.col("kept_postings") * float(POSTING_BYTES) / F.col("source_bytes")))

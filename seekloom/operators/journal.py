@@ -101,27 +101,52 @@ def valid(checkpoint_id: Column, next_usn: Column, journal_id: Column, first: Co
     return (checkpoint_id == journal_id) & (next_usn >= first) & (next_usn <= last)
 
 
+def _jumps(tree: DataFrame) -> Iterator[DataFrame]:
+    """``file_id, up, path, depth`` again and again: ``up`` is twice as far above as before, null at a root.
+
+    ``path`` is from below ``up`` down to the node. A node in a cycle, or below a missing parent, is left out once that is seen.
+    Each round is written or kept, and there are as many as the depth has bits.
+    """
+    spark = tree.sparkSession
+    up = F.when(F.col("parent") != F.col("file_id"), F.col("parent"))
+    now = tree.select("file_id", up.alias("up"), F.col("name").alias("path"), F.lit(1).alias("depth"))
+    nodes = tree.count()
+    for _ in range(max(1, nodes.bit_length()) + 1):
+        now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else now.persist()
+        yield now
+        above = now.select(F.col("file_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("depth").alias("more"))
+        done = now.where("up IS NULL")
+        open_ = now.where("up IS NOT NULL").join(above, "up").where((F.col("depth") + F.col("more")) <= nodes)
+        now = done.unionByName(open_.select("file_id", F.col("next").alias("up"), F.concat_ws("/", "above", "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth")))
+
+
 def paths(spark: SparkSession, tree: DataFrame) -> DataFrame:
     """``file_id, path`` of each node of ``file_id, parent, name``; a root is its own parent or has none.
 
-    Nodes in a cycle, or below a missing parent, are not reached and have no row.
+    Nodes in a cycle, or below a missing parent, are not reached and have no row. Ways double in each round, so a tree of any depth
+    takes a few.
     """
-    tree.createOrReplaceTempView("seekloom_tree")
-    return spark.sql("""
-        WITH RECURSIVE reached(file_id, path, depth) AS (
-          SELECT file_id, name, 0 FROM seekloom_tree WHERE parent IS NULL OR parent = file_id
-          UNION ALL
-          SELECT t.file_id, concat(r.path, '/', t.name), r.depth + 1
-          FROM seekloom_tree t JOIN reached r ON t.parent = r.file_id WHERE t.parent <> t.file_id)
-        SELECT file_id, path FROM reached""")
+    for now in _jumps(tree):
+        if now.where("up IS NOT NULL").isEmpty():
+            break
+    return now.where("up IS NULL").select("file_id", "path")
 
 
 def descendants(spark: SparkSession, tree: DataFrame, root: int) -> DataFrame:
-    """``file_id, depth`` of all nodes below ``root``."""
-    tree.createOrReplaceTempView("seekloom_tree")
-    return spark.sql(f"""
-        WITH RECURSIVE below(file_id, depth) AS (
-          SELECT file_id, 1 FROM seekloom_tree WHERE parent = {int(root)} AND file_id <> {int(root)}
-          UNION ALL
-          SELECT t.file_id, b.depth + 1 FROM seekloom_tree t JOIN below b ON t.parent = b.file_id WHERE t.file_id <> {int(root)})
-        SELECT file_id, depth FROM below""")
+    """``file_id, depth`` of all nodes below ``root``: the root's parent is cut off, and depths are those of what reaches it."""
+    cut = tree.select("file_id", F.when(F.col("file_id") != F.lit(root), F.col("parent")).alias("parent"), F.lit("").alias("name"), F.lit(0).alias("n"))
+    # only the wanted root counts as one: others' nodes have a parent that isn't there
+    cut = cut.withColumn("parent", F.when((F.col("file_id") != F.lit(root)) & (F.col("parent").isNull() | (F.col("parent") == F.col("file_id"))), F.lit(None).cast("long")).otherwise(F.col("parent")))
+    cut = cut.where((F.col("file_id") == F.lit(root)) | F.col("parent").isNotNull()).select("file_id", "parent", "name")
+    for now in _jumps(cut):
+        if now.where("up IS NOT NULL").isEmpty():
+            break
+    return now.where((F.col("up").isNull()) & (F.col("file_id") != F.lit(root))).select("file_id", (F.col("depth") - 1).alias("depth"))
+
+
+def known_events(events: DataFrame, known: DataFrame, root: int) -> DataFrame:
+    """The events that concern a catalog: of a known file, or of one below a known folder or below the root."""
+    ids = known.select(F.col("file_id").alias("id")).unionByName(events.sparkSession.createDataFrame([(root,)], "id long")).distinct()
+    own = events.join(ids, F.col("file_reference") == F.col("id"), "left_semi")
+    rest = events.join(ids, F.col("file_reference") == F.col("id"), "left_anti")
+    return own.unionByName(rest.join(ids, F.col("parent_reference") == F.col("id"), "left_semi"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import ORDER, Limits, metrics, snippets
+
 # Fixed values of the compaction rule.
 COMPACT_CHANGES = 50_000
 COMPACT_SHARE = 0.02
@@ -33,19 +35,30 @@ def current(base: DataFrame, upserts: DataFrame, tombstones: DataFrame) -> DataF
 def resolved(events: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Upserts and tombstones of a log: ``seq, file_id, action`` (upsert or delete), ``content_changed``, record columns.
 
-    The last event of an id counts; a later id takes a path from an earlier one; a change of
-    content sticks; an id that the base never had leaves no tombstone. The result does not change
-    if events come twice.
+    An id has the path of its last upsert until its next event or until another id takes that path; what loses its
+    path is gone, and stays so whatever becomes of the other one. So an id is live if its last event is an upsert and the
+    last one of that path. A base record (``file_id`` and, if there, ``path``) without events is gone once another id took its path.
+    A change of content sticks until the id is gone; an id that the base never had leaves no tombstone. The result
+    does not change if events come twice.
     """
-    last = Window.partitionBy("file_id").orderBy(F.desc("seq"))
-    everything = Window.partitionBy("file_id")
-    latest = events.withColumn("content_changed", F.max(F.coalesce("content_changed", F.lit(False))).over(everything)).withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
-    owner = Window.partitionBy("path").orderBy(F.desc("seq"))
-    upserts = latest.where("action = 'upsert'").withColumn("n", F.row_number().over(owner))
-    lost = upserts.where("n > 1").select("file_id")
-    upserts = upserts.where("n = 1").drop("n", "action")
-    gone = latest.where("action = 'delete'").select("file_id").unionByName(lost)
-    return upserts, gone.join(base.select("file_id"), "file_id", "left_semi").distinct()
+    own, of_path = Window.partitionBy("file_id").orderBy("seq"), Window.partitionBy("path").orderBy("seq")
+    taken = events.where("action = 'upsert'").withColumn("taker", F.lead("file_id").over(of_path)).withColumn("taken_at", F.lead("seq").over(of_path))
+    gone = events.where("action <> 'upsert'").withColumn("taker", F.lit(None).cast(events.schema["file_id"].dataType)).withColumn("taken_at", F.lit(None).cast(events.schema["seq"].dataType))
+    marked = taken.unionByName(gone).withColumn("next", F.lead("seq").over(own))
+    lost = (F.col("taker") != F.col("file_id")) & (F.col("next").isNull() | (F.col("taken_at") < F.col("next")))
+    marked = marked.withColumn("ended", (F.col("action") != "upsert") | F.coalesce(lost, F.lit(False)))
+    # lives: an id's events between the ends of two of them
+    marked = marked.withColumn("life", F.coalesce(F.sum(F.col("ended").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sticky = F.max(F.coalesce("content_changed", F.lit(False))).over(Window.partitionBy("file_id", "life"))
+    latest = marked.withColumn("content_changed", sticky).where("next IS NULL")
+    upserts = latest.where("NOT ended").select(*[c for c in events.columns if c != "action"])
+    known = base.select("file_id")
+    dead = latest.where("ended").select("file_id").join(known, "file_id", "left_semi")
+    if "path" in base.columns:
+        takers = events.where("action = 'upsert'").select("path", F.col("file_id").alias("taker"))
+        without = base.select("file_id", "path").join(events.select("file_id"), "file_id", "left_anti")
+        dead = dead.unionByName(without.join(takers, (without["path"] == takers["path"]) & (F.col("file_id") != F.col("taker")), "left_semi").select("file_id"))
+    return upserts, dead.distinct()
 
 
 def metadata_search(base: DataFrame, upserts: DataFrame, tombstones: DataFrame, condition: Column, limit: int) -> DataFrame:
@@ -89,3 +102,30 @@ def reconcile(known: DataFrame, observed: DataFrame) -> DataFrame:
 def should_compact(changes: Column, base_rows: Column) -> Column:
     share = F.greatest(F.lit(1), F.ceil(base_rows * F.lit(COMPACT_SHARE)))
     return (changes >= COMPACT_CHANGES) | (changes >= share)
+
+
+def limited_content(base_hits: DataFrame, delta_hits: DataFrame, limits: Limits) -> DataFrame:
+    """Hits of the base within ``limits``, then hits of the delta within what is left of them; none if a limit is 0."""
+    if limits.max_files <= 0 or limits.max_matches <= 0:
+        return snippets(base_hits, limits).where(F.lit(False))
+    seen = metrics(base_hits, limits).head()  # three counts
+    files, matches = limits.max_files - seen["files_matched"], limits.max_matches - seen["matches_seen"]
+    shown = snippets(base_hits, limits)
+    if files <= 0 or matches <= 0:
+        return shown
+    fresh = snippets(delta_hits, Limits(files, matches, limits.snippets))
+    return shown.unionByName(fresh.join(shown, list(ORDER), "left_anti"))
+
+
+#: A first batch that has so many hits from the base asks the delta for none.
+FIRST_BATCH = 100
+
+
+def first_content(base_hits: DataFrame, delta_hits: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The first hits of the base; if they are fewer than ``FIRST_BATCH``, the delta's first ones fill up to that."""
+    shown = snippets(base_hits, limits).withColumn("from_delta", F.lit(0))
+    left = FIRST_BATCH - shown.count()
+    if left <= 0:
+        return shown.drop("from_delta")
+    fresh = snippets(delta_hits, limits).join(shown, list(ORDER), "left_anti").orderBy(*ORDER).limit(left)
+    return shown.drop("from_delta").unionByName(fresh)

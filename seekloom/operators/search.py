@@ -7,14 +7,18 @@ byte offset in the unit's own text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.pattern import Pattern, compile_regex, compile_wildcard
-from ..functions.text import literal_offsets, normalise_query, starts_of
+from ..functions.text import normalise_query, starts_of
 
 ORDER = ("file_id", "line_number", "byte_offset")
 
@@ -30,13 +34,6 @@ def _no_hits(units: DataFrame) -> DataFrame:
     return units.select("file_id", "line_number", F.lit(0).alias("byte_offset")).where(F.lit(False))
 
 
-def _mapped(folded: Column, origins: Column, needle: str) -> Column:
-    """Offsets for a text whose folding moves bytes: through the origins, neighbours from one character once."""
-    places = literal_offsets(folded, needle, F.length)
-    found = F.transform(places, lambda i: F.get(origins, i))
-    return F.filter(found, lambda x, i: (i == 0) | (x != F.get(found, i - 1)))
-
-
 def literal_units(units: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
     """The units that hold the query, as they are."""
     needle = normalise_query(query, case_sensitive)
@@ -44,23 +41,55 @@ def literal_units(units: DataFrame, query: str, case_sensitive: bool = False) ->
 
 
 def literal_hits(units: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
-    """All hits of a literal; none of an empty one. Built-in functions only."""
-    needle = normalise_query(query, case_sensitive)
+    """All hits of a literal, overlapping ones too; none of an empty one.
+
+    Only units that hold it leave the JVM; a batch of those is searched as one run of bytes.
+    """
+    needle = normalise_query(query, case_sensitive).encode()
     if not needle:
         return _no_hits(units)
-    offsets = F.when(F.col("identity"), literal_offsets(F.col("folded"), needle)).otherwise(_mapped(F.col("folded"), F.col("origins"), needle))
-    return literal_units(units, query, case_sensitive).select("file_id", "line_number", F.explode(offsets).alias("byte_offset"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folded, data, ends = batch.column(2), *text_bytes(batch.column(2))
+            found, at = [], data.find(needle)
+            while at >= 0:
+                found.append(at)
+                at = data.find(needle, at + 1)
+            places = np.array(found, np.int64)
+            rows = np.searchsorted(ends, places, "right") - 1
+            inside = places + len(needle) <= ends[rows + 1]  # else it runs over into the next unit
+            rows, offsets = rows[inside], (places - ends[rows])[inside]
+            origins, kept = batch.column(3), np.ones(len(rows), bool)
+            for row in np.unique(rows[~origins.is_null().to_numpy(zero_copy_only=False)[rows]]) if len(rows) else ():
+                own, raw, of = np.flatnonzero(rows == row), folded[int(row)].as_py().encode(), origins[int(row)].as_py()
+                moved = np.array([of[len(raw[:k].decode())] for k in offsets[own].tolist()])
+                offsets[own] = moved
+                kept[own[1:]] = moved[1:] != moved[:-1]  # neighbours from one character count once
+            rows, offsets = pa.array(rows[kept]), pa.array(offsets[kept].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), offsets], list(ORDER))
+
+    kept = literal_units(units, query, case_sensitive).select("file_id", "line_number", "folded", "origins")
+    return kept.mapInArrow(run, T.StructType([kept.schema["file_id"], kept.schema["line_number"], T.StructField("byte_offset", T.IntegerType())]))
+
+
+def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of a column of texts one after the other, and where each begins (and the last ends)."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return (data.to_pybytes()[ends[0] : ends[-1]] if data is not None else b""), ends - ends[0]
 
 
 def pattern_units(units: DataFrame, pattern: Pattern) -> DataFrame:
     """The units in which the pattern matches somewhere.
 
     The literal that each match must hold goes first; patterns on which Java's matcher could
-    take very long are left to the automaton.
+    take very long, or whose classes it knows from other tables, are left to Python.
     """
     if pattern.mandatory:
         units = units.where(F.contains("folded", F.lit(pattern.mandatory)))
-    if not pattern.linear:
+    if pattern.in_jvm:
         return units.where(F.rlike("folded", F.lit(pattern.java)))
 
     @F.pandas_udf("boolean")
@@ -74,7 +103,7 @@ def pattern_hits(units: DataFrame, pattern: Pattern) -> DataFrame:
     """All starts of matches of a pattern."""
     if pattern.mandatory:
         units = units.where(F.contains("folded", F.lit(pattern.mandatory)))
-    if not pattern.linear:
+    if pattern.in_jvm:
         units = units.where(F.rlike("folded", F.lit(pattern.java)))  # few units reach Python
 
     @F.pandas_udf("array<int>")

@@ -20,7 +20,7 @@ from ..operators.metadata import numbered as _numbered
 
 # Which files a scan takes and which folders it leaves out.
 SKIPPED_FOLDERS = (".git", "target", "node_modules", ".venv", "venv", "dist", "build")
-TEXT_EXTENSIONS = ("rs", "toml", "md", "txt", "py", "js", "ts", "tsx", "jsx", "json", "yaml", "yml", "csv", "log", "html", "css", "xml", "sql", "sh", "ps1", "c", "h", "cpp", "hpp", "java", "go")
+TEXT_EXTENSIONS = ("rs", "md", "txt", "log", "json", "toml", "yaml", "yml", "xml", "html", "css", "csv", "ts", "tsx", "js", "jsx", "c", "h", "cc", "cpp", "hpp", "py", "ps1", "cmd", "bat", "sh")
 BARE_NAMES = ("README", "LICENSE", "Makefile")
 DOCUMENT_EXTENSIONS = ("pdf", "docx", "xlsx", "pptx")
 

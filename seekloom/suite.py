@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as t
@@ -12,6 +12,7 @@ from .operators import journal as j
 from .operators import metadata as m
 from .operators import overlay as o
 from .operators import search as s
+from .operators.stats import percentiles as percentiles_of
 from .plans.session import Request, Session
 from .sources.files import html_units
 
@@ -119,21 +120,7 @@ r AS (SELECT doc_id, i, bytes, 0 AS block, bytes AS filled FROM p WHERE i = 1
 SELECT doc_id AS file_id, CAST(block AS INTEGER) AS block, count(*) AS units, CAST(sum(bytes) AS BIGINT) AS bytes FROM r GROUP BY ALL""")
 def block_pack_stats(spark, d):
     """Units packed in order into blocks of at most 4 KiB; a larger unit is a block of its own."""
-    sizes = F.transform(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1), lambda x: (F.octet_length(x) + 1).cast("long"))
-    one = lambda n, b: F.struct(n.alias("units"), b.alias("bytes"))
-    empty = F.array().cast("array<struct<units:bigint,bytes:bigint>>")
-
-    def put(acc, size):
-        full = acc["filled"] + size > 4096
-        return F.struct(
-            F.when(full & (acc["n"] > 0), F.concat(acc["done"], F.array(one(acc["n"], acc["filled"])))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"),
-            F.when(full, size).otherwise(acc["filled"] + size).alias("filled"),
-        )
-
-    start = F.struct(empty.alias("done"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("filled"))
-    blocks = F.aggregate(sizes, start, put, lambda acc: F.concat(acc["done"], F.array(one(acc["n"], acc["filled"]))))
-    made = _docs(spark, d).select(F.col("doc_id").alias("file_id"), F.posexplode(blocks).alias("block", "b"))
+    made = _docs(spark, d).select(F.col("doc_id").alias("file_id"), F.posexplode(t.block_sizes(F.col("text"), 4096)).alias("block", "b"))
     return made.select("file_id", "block", "b.units", "b.bytes")
 
 
@@ -337,80 +324,88 @@ def session_files(spark, d):
     return Session(_records(spark, d), _units(spark, d)).search(Request(file="src3\\", full_path=True, max_files=25)).select("file_id", "name", "path", "size")
 
 
-@query()
+@query(f"""WITH {_M}, {_hits_sql('idiot')}, {_batch_sql(20, 500, 'h')},
+c AS (SELECT b.file_id, b.line_number, byte_offset, raw, {_PLACES} FROM b JOIN u USING (file_id, line_number) WHERE snippet_number <= 3),
+x AS (SELECT file_id, line_number, byte_offset, 'Line ' || line_number || ' · byte ' || byte_offset AS location, {_PREVIEW} AS preview FROM c),
+nested AS (SELECT file_id, string_agg(line_number || '|' || byte_offset || '|' || location || '|' || preview, chr(10) ORDER BY line_number, byte_offset) AS matches FROM x GROUP BY file_id)
+SELECT nested.file_id, path, size, name, matches FROM nested JOIN m USING (file_id) ORDER BY lower(name), string_split(path, '/'), file_id LIMIT 20""")
 def session_rows_nested(spark, d):
-    return Session(_records(spark, d), _units(spark, d)).search(Request(content="idiot", max_files=20))
+    """Files with their nested matches, written out as text for the comparison."""
+    rows = Session(_records(spark, d), _units(spark, d)).search(Request(content="idiot", max_files=20))
+    one = lambda x: F.concat_ws("|", x["line_number"], x["byte_offset"], x["location"], x["preview"])
+    return rows.select("file_id", "path", "size", "name", F.array_join(F.transform("matches", one), "\n").alias("matches"))
 
 
 # --- grams -----------------------------------------------------------------
 
-_ASCII = f"a AS (SELECT file_id, line_number, lower(raw) AS folded FROM u WHERE strlen(raw) = length(raw))"
-_G = f"{_U}, {_ASCII}, g AS (SELECT DISTINCT file_id AS block_id, upper(hex(encode(substr(folded, i, 3)))) AS gram FROM (SELECT file_id, folded, unnest(range(1, length(folded) - 1)) AS i FROM a))"
+# Grams are of bytes, so the SQL cuts hexadecimal.
+_G = f"""{_F}, s AS (SELECT file_id, upper(hex(encode(folded))) AS bytes FROM f),
+g AS (SELECT DISTINCT file_id AS block_id, substr(bytes, 2 * i - 1, 6) AS gram FROM (SELECT file_id, bytes, unnest(range(1, length(bytes) // 2 - 1)) AS i FROM s))"""
 _DF = f"{_G}, df AS (SELECT gram, CAST(least(count(*), 65) AS BIGINT) AS df FROM g GROUP BY gram)"
 
 
-def _ascii_units(spark, d):
-    units = t.units(_docs(spark, d)).where(F.octet_length("raw") == F.length("raw"))
-    return units.withColumn("folded", F.lower("raw"))
+def _grams(spark, d, width=3):
+    return g.grams(_units(spark, d), width)
+
+
+def _shown(frequencies, width=3):
+    return frequencies.select(g.shown(F.col("gram"), width).alias("gram"), "df")
 
 
 @query(f"WITH {_DF} SELECT gram, df FROM df")
 def gram_df(spark, d):
-    return g.document_frequency(g.grams(_ascii_units(spark, d)))
+    return _shown(g.document_frequency(_grams(spark, d)))
+
+
+@query(f"""WITH {_G}, w AS (SELECT DISTINCT file_id AS block_id, substr(bytes, 2 * i - 1, 10) AS gram FROM (SELECT file_id, bytes, unnest(range(1, length(bytes) // 2 - 3)) AS i FROM s))
+SELECT gram, CAST(least(count(*), 65) AS BIGINT) AS df FROM w GROUP BY gram""")
+def gram_df_five(spark, d):
+    """Grams of five bytes."""
+    return _shown(g.document_frequency(_grams(spark, d, 5)), 5)
 
 
 @query(f"WITH {_DF} SELECT gram, df FROM df ORDER BY df, gram LIMIT 50")
 def gram_rare(spark, d):
-    return g.rarest(g.document_frequency(g.grams(_ascii_units(spark, d))), 50)
+    return _shown(g.rarest(g.document_frequency(_grams(spark, d)), 50))
 
 
 @query(f"WITH {_DF}, k AS (SELECT df, sum(sum(df)) OVER (ORDER BY df) AS total FROM df WHERE df <= 64 GROUP BY df) SELECT gram, df.df AS df FROM df JOIN k USING (df) WHERE total <= 2000")
 def gram_budget(spark, d):
-    return g.budget(g.document_frequency(g.grams(_ascii_units(spark, d))), 2000).select("gram", "df")
+    return _shown(g.budget(g.document_frequency(_grams(spark, d)), 2000))
 
 
 @query(f"WITH {_G} SELECT block_id FROM g WHERE gram IN ('{"', '".join(sorted({('worthless'[i:i + 3]).encode().hex().upper() for i in range(7)}))}') GROUP BY block_id HAVING count(*) = 7")
 def gram_candidates(spark, d):
-    return g.candidates(g.grams(_ascii_units(spark, d)), "Worthless")
-
-
-# The four queries above take lines of ASCII only, as their SQL cuts characters. These take all lines, as the SQL cuts bytes.
-_GA = f"""{_F}, g AS (SELECT DISTINCT file_id AS block_id, substr(bytes, 2 * i - 1, 6) AS gram
-  FROM (SELECT file_id, bytes, unnest(range(1, length(bytes) // 2 - 1)) AS i FROM (SELECT file_id, upper(hex(encode(folded))) AS bytes FROM f)))"""
-_DFA = f"{_GA}, df AS (SELECT gram, CAST(least(count(*), 65) AS BIGINT) AS df FROM g GROUP BY gram)"
-
-
-@query(f"WITH {_DFA} SELECT gram, df FROM df")
-def gram_df_all(spark, d):
-    return g.document_frequency(g.grams(_units(spark, d)))
+    return g.candidates(_grams(spark, d), "Worthless")
 
 
-@query(f"WITH {_DFA} SELECT gram, df FROM df ORDER BY df, gram LIMIT 50")
-def gram_rare_all(spark, d):
-    return g.rarest(g.document_frequency(g.grams(_units(spark, d))), 50)
-
-
-@query(f"WITH {_DFA}, k AS (SELECT df, sum(sum(df)) OVER (ORDER BY df) AS total FROM df WHERE df <= 64 GROUP BY df) SELECT gram, df.df AS df FROM df JOIN k USING (df) WHERE total <= 2000")
-def gram_budget_all(spark, d):
-    return g.budget(g.document_frequency(g.grams(_units(spark, d))), 2000).select("gram", "df")
-
-
-@query(f"WITH {_GA} SELECT block_id FROM g WHERE gram IN ('{"', '".join(sorted({('worthless'[i:i + 3]).encode().hex().upper() for i in range(7)}))}') GROUP BY block_id HAVING count(*) = 7")
-def gram_candidates_all(spark, d):
-    return g.candidates(g.grams(_units(spark, d)), "Worthless")
+def _indexed(spark, d):
+    units = g.packed(_units(spark, d), 1 << 16).persist()
+    source = units.agg(F.coalesce(F.sum(F.octet_length("folded") + 1), F.lit(0)).alias("n")).head()["n"]
+    return units, g.Index(**g.Index.build(units, source))
 
 
 @query(f"WITH {_hits_sql('worthless')} {_H}")
 def gram_pruned_hits(spark, d):
-    """Hits found through candidates only: the same as from a scan of all units."""
-    units = _units(spark, d)
-    return s.literal_hits(g.pruned(units, g.grams(units), "worthless"), "worthless")
+    """Hits found in candidate blocks of the index only: the same as from a scan of all units."""
+    units, index = _indexed(spark, d)
+    return s.literal_hits(index.pruned(units, "worthless"), "worthless")
 
 
-@query()
+@query(f"WITH {_hits_sql('.77@mail')} {_H}")
+def gram_rare_hits(spark, d):
+    """The same for a literal that few blocks have."""
+    units, index = _indexed(spark, d)
+    return s.literal_hits(index.pruned(units, ".77@mail"), ".77@mail")
+
+
+@query(f"""WITH {_DF}, src AS (SELECT CAST(sum(strlen(raw) + 1) AS BIGINT) AS source_bytes FROM u),
+k AS (SELECT df, CASE WHEN df <= 64 THEN count(*) * df ELSE 0 END AS rows, sum(CASE WHEN df <= 64 THEN count(*) * df ELSE 0 END) OVER (ORDER BY df) AS total FROM df GROUP BY df),
+p AS (SELECT CAST(coalesce(sum(rows), 0) AS BIGINT) AS kept_postings FROM k WHERE df <= 64 AND total <= (SELECT floor(source_bytes * 0.01 / 4) FROM src))
+SELECT source_bytes, (SELECT count(*) FROM df) AS grams, kept_postings, (SELECT count(*) FROM g) AS postings, kept_postings * 4.0 / source_bytes AS ratio FROM src, p""")
 def capacity_report(spark, d):
     units = _units(spark, d)
-    return g.capacity(units, g.grams(units))
+    return g.capacity(units, g.grams(units)).withColumn("ratio", F.col("ratio").cast("double"))
 
 
 # --- overlay ---------------------------------------------------------------
@@ -458,61 +453,64 @@ def overlay_content_search(spark, d):
     return o.content_hits(with_path, fresh, ups, gone)
 
 
-_LOG = """ev AS (SELECT event_id AS seq, user_id AS file_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS action, 'p' || (event_id % 40) AS path, event_type = 'purchase' AS content_changed FROM events WHERE event_id % 97 = 0),
-base AS (SELECT DISTINCT user_id AS file_id FROM events WHERE user_id % 3 = 0),
-l AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq DESC) AS n, bool_or(content_changed) OVER (PARTITION BY file_id) AS sticky FROM ev),
-w AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS k FROM l WHERE n = 1 AND action = 'upsert')"""
+# A log of all events over the customers; four events in a row share a path, which a customer may have had before.
+_LOG = """ev AS (SELECT event_id AS seq, user_id AS file_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS action, 'p' || (event_id // 4) AS path, event_type = 'purchase' AS content_changed FROM events),
+base AS (SELECT c_custkey AS file_id, 'p' || (c_custkey * 3) AS path FROM customer),
+up AS (SELECT * FROM ev WHERE action = 'upsert'),
+ends AS (SELECT file_id, seq FROM ev WHERE action = 'delete'
+  UNION ALL SELECT a.file_id, min(b.seq) FROM up a JOIN up b ON b.path = a.path AND b.file_id <> a.file_id AND b.seq > a.seq
+    WHERE NOT EXISTS (SELECT 1 FROM ev c WHERE c.file_id = a.file_id AND c.seq > a.seq AND c.seq < b.seq) GROUP BY a.file_id, a.seq),
+latest AS (SELECT file_id, max(seq) AS seq FROM ev GROUP BY file_id),
+dead_at AS (SELECT file_id, max(seq) AS seq FROM ends GROUP BY file_id),
+living AS (SELECT u.* FROM up u JOIN latest l ON l.file_id = u.file_id AND l.seq = u.seq LEFT JOIN dead_at x ON x.file_id = u.file_id WHERE x.seq IS NULL OR x.seq < u.seq)"""
 
 
 def _log(spark, d):
-    e = _table(spark, d, "events")
-    log = e.where(F.col("event_id") % 97 == 0).select(
+    log = _table(spark, d, "events").select(
         F.col("event_id").alias("seq"),
         F.col("user_id").alias("file_id"),
         F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("action"),
-        F.concat(F.lit("p"), (F.col("event_id") % 40).cast("string")).alias("path"),
+        F.concat(F.lit("p"), F.expr("event_id div 4").cast("string")).alias("path"),
         (F.col("event_type") == "purchase").alias("content_changed"),
     )
-    return log, e.where(F.col("user_id") % 3 == 0).select(F.col("user_id").alias("file_id")).distinct()
+    return log, _table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"), F.concat(F.lit("p"), (F.col("c_custkey") * 3).cast("string")).alias("path"))
 
 
-@query(f"WITH {_LOG} SELECT file_id, path, sticky AS content_changed FROM w WHERE k = 1")
+@query(f"""WITH {_LOG} SELECT v.file_id, v.path, (SELECT bool_or(o.content_changed) FROM ev o LEFT JOIN dead_at x ON x.file_id = o.file_id WHERE o.file_id = v.file_id AND (x.seq IS NULL OR o.seq > x.seq)) AS content_changed FROM living v""")
 def path_owner_replacement(spark, d):
     return o.resolved(*_log(spark, d))[0].select("file_id", "path", "content_changed")
 
 
-@query(f"WITH {_LOG} SELECT DISTINCT file_id FROM (SELECT file_id FROM l WHERE n = 1 AND action = 'delete' UNION ALL SELECT file_id FROM w WHERE k > 1) WHERE file_id IN (SELECT file_id FROM base)")
+@query(f"""WITH {_LOG} SELECT file_id FROM base b WHERE (file_id IN (SELECT file_id FROM ev) AND file_id NOT IN (SELECT file_id FROM living))
+OR (file_id NOT IN (SELECT file_id FROM ev) AND path IN (SELECT path FROM up))""")
 def overlay_tombstones(spark, d):
     return o.resolved(*_log(spark, d))[1]
 
 
-# The log of the two queries above is of every 97th event, over every third user. This one is of all events, over the
-# customers; four events in a row share a path.
-_LOG_ALL = """ev AS (SELECT event_id AS seq, user_id AS file_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS action, 'p' || (event_id // 4) AS path, event_type = 'purchase' AS content_changed FROM events),
-base AS (SELECT c_custkey AS file_id FROM customer),
-l AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq DESC) AS n, bool_or(content_changed) OVER (PARTITION BY file_id) AS sticky FROM ev),
-w AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS k FROM l WHERE n = 1 AND action = 'upsert')"""
-
-
-def _log_all(spark, d):
-    log = _table(spark, d, "events").select(
-        F.col("event_id").alias("seq"),
-        F.col("user_id").alias("file_id"),
-        F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("action"),
-        F.concat(F.lit("p"), F.expr("event_id div 4").cast("string")).alias("path"),
-        (F.col("event_type") == "purchase").alias("content_changed"),
-    )
-    return log, _table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"))
+_LIMITED = s.Limits(25, 60, 2)
+_TWO = f"""{_hits_sql('idiot')}, bh AS (SELECT h.* FROM h WHERE file_id % 5 <> 2), dh AS (SELECT h.* FROM h WHERE file_id % 5 = 2),
+{_batch_sql(25, 60, 'bh')}, seen AS (SELECT 25 - coalesce(max(file_number), 0) AS files, 60 - count(*) AS matches FROM b),
+n2 AS (SELECT *, row_number() OVER (ORDER BY file_id, line_number, byte_offset) AS match_number, dense_rank() OVER (ORDER BY file_id) AS file_number,
+  row_number() OVER (PARTITION BY file_id ORDER BY line_number, byte_offset) AS snippet_number FROM dh)"""
 
 
-@query(f"WITH {_LOG_ALL} SELECT file_id, path, sticky AS content_changed FROM w WHERE k = 1")
-def path_owner_replacement_all(spark, d):
-    return o.resolved(*_log_all(spark, d))[0].select("file_id", "path", "content_changed")
+@query(f"""WITH {_TWO}, b2 AS (SELECT n2.* FROM n2, seen WHERE files > 0 AND matches > 0 AND match_number <= matches AND match_number <= coalesce((SELECT min(match_number) FROM n2, seen WHERE file_number >= files), matches))
+SELECT file_id, line_number, byte_offset FROM b WHERE snippet_number <= 2 UNION ALL SELECT file_id, line_number, byte_offset FROM b2 WHERE snippet_number <= 2""")
+def overlay_limits(spark, d):
+    """Base and changed files under one limit: what the base leaves of it is the delta's."""
+    found = s.literal_hits(_units(spark, d), "idiot")
+    return o.limited_content(found.where("file_id % 5 <> 2"), found.where("file_id % 5 = 2"), _LIMITED)
 
 
-@query(f"WITH {_LOG_ALL} SELECT DISTINCT file_id FROM (SELECT file_id FROM l WHERE n = 1 AND action = 'delete' UNION ALL SELECT file_id FROM w WHERE k > 1) WHERE file_id IN (SELECT file_id FROM base)")
-def overlay_tombstones_all(spark, d):
-    return o.resolved(*_log_all(spark, d))[1]
+@query(f"""WITH {_hits_sql('moron')}, bh AS (SELECT h.* FROM h WHERE file_id % 5 <> 2), dh AS (SELECT h.* FROM h WHERE file_id % 5 = 2),
+{_batch_sql(100, 500, 'bh')}, n2 AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_number, byte_offset) AS sn FROM dh),
+x AS (SELECT file_id, line_number, byte_offset FROM b WHERE snippet_number <= 3),
+y AS (SELECT file_id, line_number, byte_offset, row_number() OVER (ORDER BY file_id, line_number, byte_offset) AS k FROM n2 WHERE sn <= 3)
+SELECT * FROM x UNION ALL SELECT file_id, line_number, byte_offset FROM y WHERE k <= greatest(0, 100 - (SELECT count(*) FROM x))""")
+def overlay_first_batch(spark, d):
+    """The delta only fills up what the base's first batch lacks."""
+    found = s.literal_hits(_units(spark, d), "moron")
+    return o.first_content(found.where("file_id % 5 <> 2"), found.where("file_id % 5 = 2"))
 
 
 @query(f"""WITH {_D}, seen AS (SELECT file_id, path, size, modified_ns FROM live UNION ALL SELECT file_id, path, size, modified_ns FROM up)
@@ -566,17 +564,19 @@ def journal_normalise(spark, d):
     return j.normalise(_journal(spark, d))
 
 
-@query(f"WITH {_J} SELECT CAST(least(min(usn), 9000) AS BIGINT) AS next_usn FROM jr WHERE usn >= 5000 AND reason & {j.RENAME_OLD} <> 0")
-def journal_checkpoint(spark, d):
-    return j.checkpoint(_journal(spark, d).where("usn >= 5000"), 9000)
-
-
 @query(f"WITH {_J} SELECT CAST(least(min(CASE WHEN reason & {j.RENAME_OLD} <> 0 THEN usn END), max(usn) + 1) AS BIGINT) AS next_usn FROM jr")
-def journal_checkpoint_all(spark, d):
+def journal_checkpoint(spark, d):
     """Over the whole journal, and the next usn as observed in it."""
     return j.checkpoint(_journal(spark, d))
 
 
+@query("""WITH k AS (SELECT c_custkey AS id FROM customer UNION SELECT 5) SELECT user_id AS file_reference, event_id AS usn FROM events WHERE user_id IN (SELECT id FROM k) OR user_id % 10 IN (SELECT id FROM k)""")
+def journal_known(spark, d):
+    """Events of known files, and of files below known folders or the root."""
+    known = _table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"))
+    return j.known_events(_journal(spark, d), known, 5).select("file_reference", "usn")
+
+
 _TREE = """tree AS (SELECT 0 AS file_id, CAST(NULL AS BIGINT) AS parent, 'root' AS name UNION ALL SELECT 1 + r_regionkey, 0, r_name FROM region
 UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, n_name FROM nation UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey, c_name FROM customer)"""
 
@@ -619,11 +619,6 @@ def events_by_hour(spark, d):
 
 @query("""SELECT latency, CAST(v AS DOUBLE) AS value FROM (SELECT unnest(['p50', 'p95', 'max']) AS latency, unnest([l[CAST(ceil((len(l) - 1) * 0.5) AS INTEGER) + 1], l[CAST(ceil((len(l) - 1) * 0.95) AS INTEGER) + 1], l[len(l)]]) AS v FROM (SELECT list_sort(list(value)) AS l FROM events))""")
 def percentiles(spark, d):
-    """Values at given places of the order, without collecting it: ranks are counted from ranges of values."""
-    values = _table(spark, d, "events").select("value").where("value IS NOT NULL")
-    counts = values.groupBy("value").agg(F.count("*").alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
-    total = values.count()
-    places = [("p50", -(-(total - 1) * 50 // 100) + 1), ("p95", -(-(total - 1) * 95 // 100) + 1), ("max", total)]
-    at = spark.createDataFrame(places, "latency string, place long")
-    return running.join(F.broadcast(at), (F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place"))).select("latency", F.col("value").cast("double").alias("value"))
+    """Values at given places of the order."""
+    found = percentiles_of(_table(spark, d, "events").select("value"), {"p50": 50, "p95": 95, "max": 100})
+    return found.select(F.col("name").alias("latency"), F.col("value").cast("double").alias("value"))

@@ -1,6 +1,7 @@
 """Search, metadata, grams, overlays, journals, sessions, generations, sources."""
 
 import io
+import random
 import struct
 import zipfile
 
@@ -53,12 +54,12 @@ def test_limits(spark):
     assert tuple(search.metrics(found.limit(0)).head()) == (0, 0, 0)
 
 
-RECORDS = [(10, "/Root/Docs/Straße Report.TXT"), (20, "/Root/Cafe/café.md"), (30, "/Root/日本語/設計資料.txt"), (40, "/Other/root/report.txt"), (50, "/Root/Docs/Other.bin")]
+RECORDS = [(3, "/Music/Größe 7/Lied.OGG"), (5, "/Music/Été/note.ogg"), (8, "/写真/旅行.png"), (11, "/Attic/music/lied.txt"), (14, "/Music/Größe 7/cover.png")]
 
 
 @pytest.mark.parametrize(
     ("name", "path", "case_sensitive", "want"),
-    [("STRASSE", None, False, [10]), ("Straße", None, True, [10]), ("strasse", None, True, []), ("CAFÉ", None, False, [20]), ("設計", None, False, [30]), (None, "root\\docs", False, [10, 50]), ("report", "other", False, [40]), ("txt", "root", False, [10, 30, 40]), (None, None, False, []), ("", "", False, [])],
+    [("LIED", None, False, [3, 11]), ("Lied", None, True, [3]), (None, "GRÖSSE", False, [3, 14]), (None, "Größe", True, [3, 14]), (None, "grösse", True, []), ("旅行", None, False, [8]), (None, "music\\größe 7", False, [3, 14]), ("lied", "attic", False, [11]), ("png", "/", False, [8, 14]), (None, None, False, []), ("", "", False, [])],
 )
 def test_metadata(spark, name, path, case_sensitive, want):
     records = spark.createDataFrame(RECORDS, "file_id long, path string")
@@ -74,25 +75,55 @@ BASE = "file_id long, path string, size long, modified_ns long"
 
 
 def base(spark):
-    return spark.createDataFrame([(100, "alpha.txt", 11, 1), (200, "docs/bravo.txt", 11, 1), (300, "docs/charlie.txt", 12, 1)], BASE)
+    return spark.createDataFrame([(1, "ink.md", 40, 5), (2, "pens/nib.md", 41, 5), (3, "pens/cap.md", 42, 5)], BASE)
+
+
+EVENTS = "seq int, file_id long, action string, path string, content_changed boolean"
+
+
+def _state(spark, events):
+    """What a log leaves, one event after the other."""
+    known = {r.file_id: r.path for r in base(spark).collect()}
+    ups, dead = {}, set()
+    for _, x, action, path, changed in sorted(set(events)):
+        if action == "delete":
+            ups.pop(x, None)
+            dead.add(x)
+            continue
+        for other in [y for y, (p, _) in ups.items() if p == path and y != x] + [y for y, p in known.items() if p == path and y != x and y not in ups and y not in dead]:
+            ups.pop(other, None)
+            dead.add(other)
+        dead.discard(x)
+        ups[x] = (path, changed or (x in ups and ups[x][1]))
+    return ups, dead & set(known)
 
 
 def test_overlay(spark):
-    events = spark.createDataFrame(
-        [(1, 400, "upsert", "new/delta.txt", True), (2, 200, "upsert", "moved/bravo.txt", False), (3, 300, "delete", None, None), (4, 500, "upsert", "alpha.txt", True), (5, 999, "upsert", "x", True), (6, 999, "delete", None, None)],
-        "seq int, file_id long, action string, path string, content_changed boolean",
-    )
-    ups, gone = overlay.resolved(events, base(spark))
+    events = [(1, 7, "upsert", "new.md", True), (2, 2, "upsert", "box/nib.md", False), (3, 3, "delete", None, None), (4, 9, "upsert", "ink.md", True), (5, 11, "upsert", "x", True), (6, 11, "delete", None, None)]
+    log = spark.createDataFrame(events, EVENTS)
+    ups, gone = overlay.resolved(log, base(spark))
     now = overlay.current(base(spark).select("file_id", "path"), ups, gone)
-    assert {r.file_id: r.path for r in now.collect()} == {400: "new/delta.txt", 200: "moved/bravo.txt", 500: "alpha.txt"}
-    again, gone_again = overlay.resolved(events.unionByName(events), base(spark))
-    assert again.distinct().count() == ups.count() and gone_again.count() == gone.count() == 1
+    assert {r.file_id: r.path for r in now.collect()} == {7: "new.md", 2: "box/nib.md", 9: "ink.md"}
+    again, gone_again = overlay.resolved(log.unionByName(log), base(spark))
+    assert again.distinct().count() == ups.count() and sorted(r.file_id for r in gone_again.collect()) == [1, 3]
+
+
+def test_what_lost_its_path_stays_gone(spark):
+    events = [(1, 4, "upsert", "ink.md", True), (2, 4, "delete", None, None), (3, 5, "upsert", "p", True), (4, 6, "upsert", "p", False), (5, 6, "delete", None, None)]
+    ups, gone = overlay.resolved(spark.createDataFrame(events, EVENTS), base(spark))
+    assert ups.collect() == [] and [r.file_id for r in gone.collect()] == [1]
+    r = random.Random(4)
+    for _ in range(6):
+        events = [(k, r.randint(1, 6), *r.choice([("upsert", r.choice(["ink.md", "p", "q", "pens/cap.md"]), r.random() < 0.3), ("upsert", "p", False), ("delete", None, None)])) for k in range(r.randint(1, 25))]
+        ups, gone = overlay.resolved(spark.createDataFrame(events, EVENTS), base(spark))
+        got = {x.file_id: (x.path, x.content_changed) for x in ups.collect()}, {x.file_id for x in gone.collect()}
+        assert got == _state(spark, events), events
 
 
 def test_reconcile(spark):
-    seen = spark.createDataFrame([(100, "moved-alpha.txt", 11, 1), (200, "docs/bravo.txt", 99, 9), (777, "new.txt", 1, 1)], BASE)
+    seen = spark.createDataFrame([(1, "old-ink.md", 40, 5), (2, "pens/nib.md", 99, 9), (77, "new.md", 1, 1)], BASE)
     got = {r.file_id: (r.action, r.content_changed) for r in overlay.reconcile(base(spark), seen).collect()}
-    assert got == {100: ("rename", False), 200: ("modify", True), 300: ("delete", False), 777: ("create", True)}
+    assert got == {1: ("rename", False), 2: ("modify", True), 3: ("delete", False), 77: ("create", True)}
     counts = spark.createDataFrame([(19, 1000), (20, 1000), (50000, 10**9), (0, 0), (1, 0)], "c long, n long")
     assert [r[0] for r in counts.select(overlay.should_compact(counts.c, counts.n)).collect()] == [False, True, True, False, True]
 
@@ -213,3 +244,41 @@ def test_directory(spark, tmp_path):
     assert {r.path: r.doc_id for r in files.numbered(found).collect()} == {"README": 0, "a.txt": 1, "b/c d.MD": 2}
     records = files.metadata_table(spark, str(tmp_path)).collect()
     assert {(r.path, r.kind) for r in records} >= {("b", "Directory"), ("b/x.bin", "File")} and len({r.file_id for r in records}) == len(records)
+
+
+def test_deep_trees(spark):
+    n = 700
+    tree = spark.createDataFrame([(0, None, "r"), *[(k, k - 1, f"n{k}") for k in range(1, n)], (5000, 5001, "a"), (5001, 5000, "b"), (6000, 9999, "lost"), (7000, 7000, "own")], "file_id long, parent long, name string")
+    got = {r.file_id: r.path for r in journal.paths(spark, tree).collect()}
+    assert len(got) == n + 1 and got[7000] == "own" and got[3] == "r/n1/n2/n3" and got[n - 1].count("/") == n - 1
+    below = {r.file_id: r.depth for r in journal.descendants(spark, tree, 100).collect()}
+    assert below == {k: k - 100 for k in range(101, n)}
+
+
+def test_an_index_prunes_and_loses_nothing(spark):
+    from seekloom.functions import text as t
+    from seekloom.operators import grams
+
+    r = random.Random(8)
+    words = ["ink", "pen", "nib", "Größe", "été", "paper", "日本"]
+    docs = [(k, "\n".join(" ".join(r.choice(words) for _ in range(8)) for _ in range(20)) + ("\nrareword here" if k == 77 else "")) for k in range(200)]
+    units = grams.packed(t.normalised_units(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)), 4096).persist()
+    sizes = units.groupBy("block_id").agg({"folded": "count"}).count()
+    assert sizes > 10
+    index = grams.Index(**grams.Index.build(units, 10**7))
+    assert len(index.blocks("RareWord")) == 1 and index.blocks("qqq") == [] and index.blocks("ra") is None
+    for query in ("rareword", "größe été", "pen", "ink 日本 pen", "absent"):
+        want = sorted(tuple(x) for x in search.literal_hits(units, query).collect())
+        assert sorted(tuple(x) for x in search.literal_hits(index.pruned(units, query), query).collect()) == want
+    small = grams.Index.build(units, 1000, {3: 0.4})
+    assert small["postings"].count() * grams.POSTING_BYTES <= 400
+
+
+def test_exact_percentiles(spark):
+    from seekloom.operators.stats import percentiles
+
+    r = random.Random(3)
+    for n in (0, 1, 2, 999):
+        values = sorted(r.choice([1.5, 2.0, r.random() * 100]) for _ in range(n))
+        got = {x.name: x.value for x in percentiles(spark.createDataFrame([(v,) for v in [*values, None]], "value double"), {"a": 50, "b": 95, "c": 100}).collect()}
+        assert got == ({k: values[-(-(n - 1) * q // 100)] for k, q in (("a", 50), ("b", 95), ("c", 100))} if n else {})
