@@ -58,34 +58,44 @@ def shown(gram: Column, width: int = WIDTH) -> Column:
     return F.right(F.hex(gram), F.lit(2 * width))
 
 
-def grams(units: DataFrame, width: int = WIDTH, block: str = "file_id") -> DataFrame:
-    """``gram, block_id``, each pair once.
-
-    A batch's texts are one run of bytes, whose windows are numbers; a block that several batches share is merged by a shuffle of
-    what is left, which is a small part of the text.
-    """
+def _windows(column: pa.Array, owner: np.ndarray, width: int) -> np.ndarray:
+    """The different windows of ``width`` bytes of each owner's texts: numbers with the owner above the bytes."""
+    data, ends = text_bytes(column)
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    n = len(raw) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    value = np.zeros(n, np.int64)
+    for k in range(width):
+        value = value << 8 | raw[k : k + n]
+    unit = np.repeat(np.arange(len(column)), np.diff(ends))[:n]
+    inside = np.arange(n) + width <= ends[unit + 1]
+    return np.unique(owner[unit[inside]] << 8 * width | value[inside])
+
+
+def _pairs(units: DataFrame, width: int, block: str) -> DataFrame:
+    """``gram, block_id``: each pair once from each batch."""
     if not 1 <= width <= 5:
         raise ValueError("grams have one to five bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = text_bytes(batch.column(1))
-            raw, blocks = np.frombuffer(data, np.uint8).astype(np.int64), batch.column(0).dictionary_encode()
-            n = len(raw) - width + 1
-            if n <= 0:
-                continue
-            value = np.zeros(n, np.int64)
-            for k in range(width):
-                value = value << 8 | raw[k : k + n]
-            unit = np.repeat(np.arange(batch.num_rows), np.diff(ends))[:n]
-            inside = np.arange(n) + width <= ends[unit + 1]
-            owner = blocks.indices.to_numpy().astype(np.int64)[unit[inside]]
-            both = np.unique(owner << 8 * width | value[inside])
+            blocks = batch.column(0).dictionary_encode()
+            both = _windows(batch.column(1), blocks.indices.to_numpy().astype(np.int64), width)
             which, value = both >> 8 * width, both & ((1 << 8 * width) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(value | width << 56), blocks.dictionary.take(pa.array(which))], ["gram", "block_id"])
 
     rows = units.where("folded IS NOT NULL").select(F.col(block).alias("block_id"), "folded")
-    return rows.mapInArrow(run, T.StructType([T.StructField("gram", T.LongType()), rows.schema["block_id"]])).distinct()
+    return rows.mapInArrow(run, T.StructType([T.StructField("gram", T.LongType()), rows.schema["block_id"]]))
+
+
+def grams(units: DataFrame, width: int = WIDTH, block: str = "file_id") -> DataFrame:
+    """``gram, block_id``, each pair once.
+
+    A batch's texts are one run of bytes, whose windows are numbers; a block that several batches share is merged by a shuffle of
+    what is left, which is a small part of the text.
+    """
+    return _pairs(units, width, block).distinct()
 
 
 def document_frequency(table: DataFrame, most: int = RARE_DF + 1) -> DataFrame:
@@ -153,12 +163,14 @@ class Index:
 
         Of grams of four and five bytes only those kept are stored; of three all are, so a gram that nothing has ends a search.
         """
+        # Units of a block follow each other, so a pair comes again only where a batch ends within its block: that
+        # may count a gram as a little more frequent, which costs a posting at most and never a result.
         postings, present = [], []
         for width, share in (SHARES if shares is None else shares).items():
-            table = grams(units, width, "block_id").persist()
-            df = document_frequency(table)
+            table = _pairs(units, width, "block_id")
+            df = table.groupBy("gram").agg(F.count("*").alias("all")).select("gram", F.least("all", F.lit(RARE_DF + 1)).alias("df")).persist()
             kept = budget(df, int(source_bytes * share / POSTING_BYTES)).select("gram")
-            postings.append(table.join(kept, "gram"))
+            postings.append(table.join(kept, "gram").distinct())
             if width == WIDTH:
                 present.append(df)
         merge = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(merge(tables[1:]))
@@ -169,12 +181,17 @@ class Index:
         short = needed(query, WIDTH, case_sensitive)
         if not short:
             return None
-        if self.present.where(F.col("gram").isin(short)).count() < len(short):
-            return []
         wanted = short + needed(query, 4, case_sensitive) + needed(query, 5, case_sensitive)
-        found: dict[int, set[int]] = {}
-        for row in self.postings.where(F.col("gram").isin(wanted)).collect():  # at most RARE_DF rows for each gram of the query
-            found.setdefault(row["gram"], set()).add(row["block_id"])
+        there = self.present.where(F.col("gram").isin(short)).select("gram", F.lit(None).cast("long").alias("block_id"))
+        seen, found = set(), {}
+        # at most one row and RARE_DF more for each gram of the query
+        for gram, block in there.unionByName(self.postings.where(F.col("gram").isin(wanted))).collect():
+            if block is None:
+                seen.add(gram)
+            else:
+                found.setdefault(gram, set()).add(block)
+        if len(seen) < len(short):
+            return []
         return sorted(set.intersection(*found.values())) if found else None
 
     def pruned(self, units: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:

@@ -25,7 +25,13 @@ def of_documents(docs: DataFrame) -> DataFrame:
 
 
 def searchable(records: DataFrame, case_sensitive: bool = False) -> DataFrame:
-    """Records with ``name_key`` and ``path_key``, normalised once. Paths take either separator."""
+    """Records with ``name_key`` and ``path_key``, normalised once. Paths take either separator.
+
+    Records that have the keys already, as a stored catalog's do, stay as they are.
+    """
+    if not case_sensitive and {"name_key", "path_key"} <= set(records.columns):
+        return records
+    records = records.select(*[c for c in records.columns if c not in ("name_key", "path_key")])
     path = canonical_path(F.col("path"))
     name = basename(F.col("path"))
     made = records.withColumn("p", normalised(path, case_sensitive)).withColumn("n", normalised(name, case_sensitive))

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import SEMANTIC_ID
 from ..operators.metadata import duplicate_ids
@@ -65,24 +66,24 @@ class Store:
             raise ValueError(f"generation {number} is of another format or meaning")
         return found
 
-    def publish(self, tables: dict[str, DataFrame], parent: int | None = None, gate: Callable[[dict[str, int]], float] | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], parent: int | None = None, gate: Callable[[dict[str, int]], float] | None = None, notes: dict | None = None) -> int:
         """Write the tables and commit them; the new generation's number.
 
-        ``gate`` maps written bytes by table to the index's share of its source.
+        ``gate`` maps written bytes by table to the index's share of its source; ``notes`` are kept in the manifest.
         """
         if "metadata" in tables and not duplicate_ids(tables["metadata"]).isEmpty():
             raise ValueError("two records have the same id")
         number = self.next_number()
-        sizes, rows = {}, {}
+        sizes, rows, sums = {}, {}, {}
         for name, df in tables.items():
             path = f"{self.root}/generations/{number:010d}/{name}"
             df.write.mode("errorifexists").parquet(path)
             sizes[name] = self._fs.getContentSummary(self._jvm.org.apache.hadoop.fs.Path(path)).getLength()
-            rows[name] = self.spark.read.parquet(path).count()
+            rows[name], sums[name] = self._summed(self.spark.read.parquet(path))
         if gate is not None and (share := gate(sizes)) > MOST_INDEX_SHARE:
             self._fs.delete(self._path(f"generations/{number:010d}"), True)
             raise CapacityExceeded(f"the index takes {share:.1%} of its source")
-        body = {"format": FORMAT, "semantic_id": SEMANTIC_ID, "generation": number, "parent": parent, "rows": rows}
+        body = {"format": FORMAT, "semantic_id": SEMANTIC_ID, "generation": number, "parent": parent, "rows": rows, "sums": sums, "notes": notes or {}}
         fresh = self._path(f"manifests/.{uuid.uuid4().hex}")
         stream = self._fs.create(fresh, False)
         stream.write(bytearray(json.dumps(body).encode()))
@@ -92,15 +93,28 @@ class Store:
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self._conf).rename(fresh, self._path(f"manifests/{number:010d}.json"), none)
         return number
 
-    def load(self, number: int) -> dict[str, DataFrame]:
-        """The tables of one generation; an error if any is not what the manifest says."""
+    @staticmethod
+    def _summed(df: DataFrame) -> tuple[int, int]:
+        """How many rows, and a sum of their contents that doesn't depend on their order."""
+        row = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), F.lit(0)).alias("sum")).head()
+        return row["n"], row["sum"]
+
+    def load(self, number: int, contents: bool = True) -> dict[str, DataFrame]:
+        """The tables of one generation; an error if any is not what the manifest says.
+
+        ``contents`` reads all rows to compare their sum; else they are only counted.
+        """
         found = self.manifest(number)
         tables = {}
         for name, rows in found["rows"].items():
             df = self.spark.read.parquet(f"{self.root}/generations/{number:010d}/{name}")
             if df.count() != rows:
                 raise ValueError(f"{name} of generation {number} has lost rows")
+            if contents and self._summed(df)[1] != found["sums"][name]:
+                raise ValueError(f"{name} of generation {number} has other contents")
             tables[name] = df
+        if found["parent"] is not None:
+            self.manifest(found["parent"])
         return tables
 
     def latest(self) -> tuple[int, dict[str, DataFrame]]:
@@ -117,17 +131,20 @@ class Store:
 
         Unsound ones don't count, and stay for whoever looks into them.
         """
-        keep, kept, gone = max(keep, KEPT), 0, []
+        keep, kept, gone, needed = max(keep, KEPT), 0, [], set()
         for number in reversed(self.generations()):
             try:
-                self.load(number)
+                self.load(number, contents=False)
+                parent = self.manifest(number)["parent"]
             except Exception:  # noqa: BLE001
                 continue
             kept += 1
-            if kept > keep:
-                self._fs.delete(self._path(f"manifests/{number:010d}.json"), False)
-                self._fs.delete(self._path(f"generations/{number:010d}"), True)
-                gone.append(number)
+            if kept <= keep or number in needed:  # what a kept one builds on stays too
+                needed.add(parent)
+                continue
+            self._fs.delete(self._path(f"manifests/{number:010d}.json"), False)
+            self._fs.delete(self._path(f"generations/{number:010d}"), True)
+            gone.append(number)
         for number in set(self._numbers("generations")) - set(self.generations()):
             self._fs.delete(self._path(f"generations/{number:010d}"), True)
         return gone

@@ -13,6 +13,7 @@ from .operators import metadata as m
 from .operators import overlay as o
 from .operators import search as s
 from .operators.stats import percentiles as percentiles_of
+from .plans.catalog import Catalog, scratch
 from .plans.session import Request, Session
 from .sources.files import html_units
 
@@ -531,6 +532,50 @@ def compaction_decision(spark, d):
     return counts.withColumn("compact", o.should_compact(F.col("changes"), F.col("base_rows")))
 
 
+# A scan that saw the changes of the overlay queries: a file whose content changed has a further line.
+_OBS = """obs AS (SELECT doc_id, CASE WHEN doc_id % 50 = 2 THEN text || chr(10) || 'Idiot again' ELSE text END AS text FROM documents WHERE doc_id % 50 <> 1 AND doc_id % 100 <> 3
+  UNION ALL SELECT doc_id + 1000000, text FROM documents WHERE doc_id % 50 = 3)"""
+
+
+def _observed(spark, d):
+    base = _records(spark, d)
+    ups, gone = _delta(base)
+    records = o.current(base, ups, gone)
+    k, texts = F.col("doc_id"), _docs(spark, d).select("doc_id", "text")
+    old = texts.where((k % 50 != 1) & (k % 100 != 3)).withColumn("text", F.when(k % 50 == 2, F.concat("text", F.lit("\nIdiot again"))).otherwise(F.col("text")))
+    files = old.unionByName(texts.where(k % 50 == 3).withColumn("doc_id", k + 1_000_000))
+    return base, texts.withColumnRenamed("doc_id", "file_id"), records, files.withColumnRenamed("doc_id", "file_id")
+
+
+def _reconciled(spark, d) -> Catalog:
+    base, texts, records, files = _observed(spark, d)
+    catalog = Catalog(spark, scratch(spark), 1 << 16)
+    catalog.initialise(base, texts, 7)
+    catalog.reconcile(records, files, 9)
+    return catalog
+
+
+@query(f"WITH {_D} SELECT {_MCOLS} FROM live UNION ALL SELECT {_MCOLS} FROM up WHERE file_id NOT IN (SELECT file_id FROM dead)")
+def lifecycle_reconcile(spark, d):
+    """Records of a stored catalog that was begun, reconciled with a later scan, and compacted as changes were many."""
+    return _reconciled(spark, d).load().records.select(*[c.strip() for c in _MCOLS.split(",")])
+
+
+@query(f"WITH {_OBS}, {_hits_sql('idiot').replace('FROM documents', 'FROM obs')} {_H}")
+def store_search(spark, d):
+    """Content hits in that catalog, found through its index."""
+    return _reconciled(spark, d).load().hits("idiot")
+
+
+@query(f"""WITH {_M}, {_D.removeprefix(_M + ', ')} SELECT file_id FROM m WHERE file_id IN (SELECT file_id FROM dead) OR file_id NOT IN (SELECT file_id FROM live UNION ALL SELECT file_id FROM up) OR file_id IN (SELECT file_id FROM up WHERE content_changed)""")
+def source_drift(spark, d):
+    """Records that a later scan shows to be stale."""
+    base, texts, records, _ = _observed(spark, d)
+    catalog = Catalog(spark, scratch(spark), 1 << 16)
+    catalog.initialise(base, texts)
+    return catalog.drifted(records)
+
+
 # --- journals --------------------------------------------------------------
 
 _BITS = {"view": j.RENAME_OLD, "click": j.RENAME_NEW, "signup": j.FILE_CREATE, "error": j.FILE_DELETE, "purchase": j.DATA_EXTEND}

@@ -282,3 +282,54 @@ def test_exact_percentiles(spark):
         values = sorted(r.choice([1.5, 2.0, r.random() * 100]) for _ in range(n))
         got = {x.name: x.value for x in percentiles(spark.createDataFrame([(v,) for v in [*values, None]], "value double"), {"a": 50, "b": 95, "c": 100}).collect()}
         assert got == ({k: values[-(-(n - 1) * q // 100)] for k, q in (("a", 50), ("b", 95), ("c", 100))} if n else {})
+
+
+def test_a_catalogs_life(spark, tmp_path):
+    from seekloom.plans.catalog import Catalog
+
+    r = random.Random(6)
+    words = ["ink", "pen", "nib", "paper", "quill"]
+    files = {k: "\n".join(" ".join(r.choice(words) for _ in range(6)) for _ in range(4)) for k in range(100)}
+    records = {k: (k, f"f/{k}.md", len(t), 5) for k, t in files.items()}
+    kinds = "file_id long, path string, size long, modified_ns long"
+    frame = lambda rows: spark.createDataFrame(list(rows), kinds)
+    texts = lambda d: spark.createDataFrame(list(d.items()), "file_id long, text string")
+    want = lambda d, needle: sorted((k, n, o) for k, t in d.items() for n, line in enumerate(t.split("\n"), 1) for o in range(len(line)) if line.startswith(needle, o))
+    catalog = Catalog(spark, str(tmp_path / "c"), 512)
+    assert catalog.initialise(frame(records.values()), texts(files), 3) == 1
+    now = catalog.load()
+    assert now.status() == {"generation": 1, "base": 1, "records": 100, "changes": 0, "kind": "base", "position": 3}
+    assert sorted(map(tuple, now.hits("quill pen").collect())) == want(files, "quill pen")
+    assert catalog.reconcile(frame(records.values()), texts(files)) is None
+    files[7] += "\nanother quill pen"
+    records[7] = (7, "f/7.md", len(files[7]), 6)
+    assert [x.file_id for x in catalog.drifted(frame(records.values())).collect()] == [7]
+    assert catalog.reconcile(frame(records.values()), texts(files), 8) == 2
+    now = catalog.load()
+    assert (now.number, now.base_number) == (2, 1) and now.status()["position"] == 8 and now.overlay["delta"].count() == 5
+    assert sorted(map(tuple, now.hits("quill pen").collect())) == want(files, "quill pen")
+    assert {x.file_id for x in now.search(Request(file="f/7", full_path=True, content="another")).collect()} == {7}
+    assert [x.file_id for x in now.owner("f/7.md").collect()] == [7] and now.record(7).head().size == len(files[7])
+    few = now.limited_hits("pen", limits=search.Limits(3, 500, 1)).collect()
+    assert len({x.file_id for x in few}) == 3
+    del files[0], records[0]
+    records[1] = (1, "moved/1.md", records[1][2], 5)
+    catalog.reconcile(frame(records.values()), texts(files), 9)  # three changes of a hundred: compacted
+    now = catalog.load()
+    assert now.overlay is None and now.status()["records"] == 99 and now.number == 4
+    assert sorted(map(tuple, now.hits("quill pen").collect())) == want(files, "quill pen")
+    assert sorted(x.path for x in now.records.collect()) == sorted(v[1] for v in records.values())
+    assert catalog.store.collect_garbage() == [2] and catalog.store.generations() == [1, 3, 4]
+
+
+def test_changed_contents_are_noticed(spark, tmp_path):
+    from seekloom.plans.store import Store
+
+    made = Store(spark, str(tmp_path / "s"))
+    for k in (1, 2):
+        made.publish({"t": spark.createDataFrame([(k, "x")], "id long, v string").coalesce(1)})
+    assert made.latest()[0] == 2
+    spark.createDataFrame([(2, "y")], "id long, v string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "s/generations/0000000002/t"))
+    assert made.load(2, contents=False) and made.latest()[0] == 1
+    with pytest.raises(ValueError, match="contents"):
+        made.load(2)
