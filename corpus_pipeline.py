@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekloom.llm import bpe, decontaminate, neardup, privacy, toxicity
-from seekloom.llm._shared import scratch, table
+from seekloom.llm._shared import remove, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:  # what the stage read is no longer needed
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
