@@ -30,7 +30,8 @@ BUCKETS = 1 << 16
 PER_LANGUAGE = 4000
 #: Code points that are put into one numpy pass.
 PASS = 1 << 19
-LARGEST_MATRIX = 64 << 20
+#: A matrix has a column of 256 KB for each language.
+MOST_LANGUAGES = 256
 
 _alpha: np.ndarray | None = None
 
@@ -81,11 +82,17 @@ def _grams(run: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` labelled rows of each language (all, if there are fewer): ``lang, text``."""
+    """About ``per_language`` labelled rows of each language (all, if there are fewer): ``lang, text``.
+
+    More languages than a matrix may have are an error, before anything of theirs is collected or broadcast.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    share = rows.groupBy("lang").count().select(F.col("lang").alias("__lang"), (F.lit(per_language) / F.col("count")).alias("__share"))
+    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError("too many languages for a broadcast matrix")
+    share = docs.sparkSession.createDataFrame([(r["lang"], per_language / r["count"]) for r in counts], T.StructType([T.StructField("__lang", docs.schema["lang"].dataType), T.StructField("__share", T.DoubleType())]))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(share, rows["lang"] == share["__lang"]).where(place < F.col("__share")).select("lang", "text")
+    return rows.join(F.broadcast(share), rows["lang"] == share["__lang"]).where(place < F.col("__share")).select("lang", "text")
 
 
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -103,11 +110,11 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             seen = seen[seen % (BUCKETS + 1) < BUCKETS]
             yield pd.DataFrame({"lang": names[seen // (BUCKETS + 1)], "bucket": (seen % (BUCKETS + 1)).astype(np.int32), "n": total[seen]})
 
-    most = LARGEST_MATRIX // ((BUCKETS + 1) * 4)
-    if rows.select("lang").distinct().limit(most + 1).count() > most:  # before anything is collected
-        raise ValueError("too many languages for a broadcast matrix")
-    counts = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    counts = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = counts.limit(MOST_LANGUAGES * BUCKETS + 1).toArrow().to_pandas()
     names = sorted(counts["lang"].unique())
+    if len(names) > MOST_LANGUAGES or len(counts) > MOST_LANGUAGES * BUCKETS:
+        raise ValueError("too many languages for a broadcast matrix")
     matrix = np.full((BUCKETS, len(names)), 0.5)
     matrix[counts["bucket"].to_numpy(), np.searchsorted(names, counts["lang"]) if names else []] += counts["n"].to_numpy()
     if names:

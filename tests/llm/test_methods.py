@@ -295,6 +295,17 @@ def test_language_scores_are_those_of_plain_counts(spark):
         assert got.score == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs), abs=1e-4)
 
 
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    docs = spark.range(8).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), F.col("id")).alias("lang"))
+    with pytest.raises(ValueError, match="languages"):
+        language.sample(docs, F.lit(False))
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(docs.select("lang", "text"))
+    names, _ = language.learn(language.sample(docs.where("doc_id < 3"), F.lit(False)))
+    assert names == ["l0", "l1", "l2"]
+
+
 # --- fingerprints ----------------------------------------------------------
 
 
