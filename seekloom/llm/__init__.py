@@ -1,15 +1,22 @@
-"""Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
+"""Operators for training-data pipelines. Nothing else in the library imports this subpackage.
+
+The modules are imported when they are asked for, so a Python worker loads only what its function needs.
+"""
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, language, neardup, privacy, shards, spots, toxicity, warc
+from importlib import import_module
+
+_MODULES = ("decontaminate", "shards", "toxicity", "warc", "privacy", "bpe", "language", "spots", "html", "neardup")
+
 
-_MODULES = (decontaminate, shards, toxicity, warc, privacy, bpe, language, spots, html, neardup)
+def _found(name: str) -> dict:
+    return {k: v for module in _MODULES for k, v in getattr(import_module(f"{__name__}.{module}"), name).items()}
 
 
 def queries() -> dict:
-    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+    return _found("QUERIES")
 
 
 def oracle_sql() -> dict:
-    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
+    return _found("SQL")

@@ -78,6 +78,20 @@ class Folder:
                 remove(self.spark, path)
 
 
+#: Rows and bytes that a Python worker is handed at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on an Arrow batch, if they are higher: a batch is in memory several times, in the JVM and in Python."""
+    parse = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    if not 0 < parse(spark.conf.get(size)) <= BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is.
 

@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._shared import free_name, table
+from ._shared import free_name, small_batches, table
 
 #: Parts of at most so many code points are encoded at once; smaller ones mean more joining.
 LEAF = 256
@@ -118,6 +118,7 @@ def _codec(blob: bytes) -> Codec:
 
 
 def _ranks(spark: SparkSession, path: str | None):
+    small_batches(spark)
     with open(path or public_tokenizers.path(RANKS), "rb") as file:
         blob = file.read(LARGEST_FILE + 1)
     if len(blob) > LARGEST_FILE:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Folder, free_name, sized, table, words
+from ._shared import Folder, free_name, sized, small_batches, table, words
 
 SIZE, SIMILARITY = 5, 0.8
 #: 20 bands of 4 components: a pair at 0.8 meets in none of them once in 37,000 times.
@@ -319,6 +319,7 @@ def _classified(work: Folder, docs: DataFrame, similarity: float) -> tuple[DataF
 
     A node is all rows of the same words; its ``doc_id`` is the smallest.
     """
+    small_batches(docs.sparkSession)
     signed = work.cut(_signed(docs.select("doc_id", "text")))
     known = signed.where("same IS NOT NULL AND doc_id IS NOT NULL")
     row = F.struct("doc_id", "text_key", "bands", "runs")

@@ -23,11 +23,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import free_name, table, words
+from ._shared import free_name, small_batches, table, words
 
 BUCKETS, HASHES, DIM = 1 << 16, 4, 8
 PREFIXES = (4, 5, 6)
@@ -240,12 +240,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Only the words' hashes go to Python; all columns of ``docs`` stay where they are.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * HASHES * DIM floats: 8 MB, whatever the input
     out, here = free_name(docs, "score"), free_name(docs, "toxic_here")
 
-    @F.pandas_udf("double")
-    def run(hashes: pd.Series) -> pd.Series:
-        return pd.Series(scores(shared.value, hashes.tolist()))
+    @F.arrow_udf("double")
+    def run(hashes: pa.Array) -> pa.Array:
+        flat, ends = hashes.values.to_numpy(zero_copy_only=False), hashes.offsets.to_numpy()
+        return pa.array(scores(shared.value, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
 
     limit = F.lit(THRESHOLD)
     if "lang" in docs.columns:

@@ -10,10 +10,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seekloom.llm import bpe, decontaminate, html, language, neardup, privacy, shards, spots, toxicity, warc
 from seekloom.llm._shared import running
 
-from .test_text_operators import _brute, _near_words, _ok, PLAIN
+from .common import SF
+from .test_corpus_operators import _classes
+from .test_text_operators import PLAIN, _brute, _codec, _near_words, _ok, _words
 
 LARGE = 2**53 + 1
 CLASHING = ["id", "__base", "__out", "__spans", "__hit_id", "base", "spans", "hit_id", "hit_spans", "hit_out", "hit_doc", "hit_terms", "clean_text", "copies", "kept_id", "kept_key", "kept_rows", "class_id", "node", "score", "place", "part", "key", "last", "label", "probe"]
@@ -385,3 +388,52 @@ def test_nothing_of_an_article_is_lost_or_leaks(inner, text):
 def test_most_texts_go_through_the_tree(spark):
     sizes = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.length("text")).collect()]
     assert sum((n or 0) > bpe.LEAF for n in sizes) / len(sizes) > 0.8
+
+
+# --- pipeline --------------------------------------------------------------
+
+
+def _cut(text, items):
+    """A text without benchmark windows; None if they are a twentieth of it or more."""
+    windows = collections.defaultdict(set)
+    for _, body in items:
+        b = _words(body)
+        n = min(13, len(b))
+        for i in range(len(b) - n + 1 if n else 0):
+            windows[n].add(tuple(b[i : i + n]))
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    w, hit = _words(text), set()
+    for n, known in windows.items():
+        for at in range(len(w) - n + 1):
+            if tuple(w[at : at + n]) in known:
+                hit.update(range(at, at + n))
+    if not hit:
+        return text
+    if 20 * len(hit) >= len(w):
+        return None
+    ends = [a for a, _ in places[1:]] + [len(text)]
+    return text[: places[0][0]] + "".join(text[a:b] for k, ((a, _), b) in enumerate(zip(places, ends, strict=True)) if k not in hit)
+
+
+def test_the_pipeline_is_its_stages_by_loops(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.learn(frame, spark.read.parquet(f"{SF}/labels.parquet"), toxicity.held_out_rows())
+    rows = frame.select("doc_id", "text", "lang", toxicity.hashed(F.col("text")).alias("h")).collect()
+    score = {r.doc_id: toxicity.scores(model, [np.array(r.h or [], np.int64)])[0] for r in rows}
+    docs = [(r.doc_id, r.text) for r in rows if score[r.doc_id] < model.thresholds.get(str(r.lang), toxicity.THRESHOLD)]
+    classes = _classes(docs)
+    docs = [d for d in docs if classes[d[0]] == d[0]]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = [(k, _cut(text, items)) for k, text in docs if text is None or _cut(text, items) is not None]
+    spans, want = _all_spans(docs), {}
+    _, plain = _codec(64)
+    for k, text in docs:
+        at, out = 0, ""
+        for span in spans[k].split(",") if spans[k] else []:
+            kind, start, end = span.split(":")
+            if int(start) >= at:
+                out += text[at : int(start)] + (f"[{kind.upper()}]" if kind != "term" else "[LONG WORD]" if int(end) - int(start) > 6 else "[WORD]")
+            at = max(at, int(end))
+        want[k] = plain.encode_ordinary(out + (text or "")[at:])
+    got = {r.doc_id: r.token_ids for r in corpus_pipeline.run(spark, SF).collect()}
+    assert sorted(got) == sorted(want) and got == want and len(got) < len(rows)
