@@ -5,11 +5,14 @@ Nothing outside ``seekloom.llm`` imports this module.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,6 +95,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, BATCH_BYTES)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker stays alive, idle, beside later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, and :func:`trim` after it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is.
 

@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._shared import free_name, small_batches, table
+from ._shared import free_name, small_batches, table, trimmed
 
 #: Parts of at most so many code points are encoded at once; smaller ones mean more joining.
 LEAF = 256
@@ -138,7 +138,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> Da
                 ids = pa.array([codec.encode(t) for t in part.column(at).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str | None = None, column: str = "token_ids") -> DataFrame:
@@ -153,7 +153,7 @@ def decode(encoded: DataFrame, path: str | None = None, column: str = "token_ids
                 made = pa.array([codec.decode(ids or []) for ids in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*batch.schema.names, out])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
+    return encoded.mapInArrow(trimmed(run), T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

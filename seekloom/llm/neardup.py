@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Folder, free_name, sized, small_batches, table, words
+from ._shared import Folder, free_name, sized, small_batches, table, trim, trimmed, words
 
 SIZE, SIMILARITY = 5, 0.8
 #: 20 bands of 4 components: a pair at 0.8 meets in none of them once in 37,000 times.
@@ -146,7 +146,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], made, runs], ["doc_id", "text_key", "same", "bands", "runs"])
 
     kinds = [docs.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("runs", T.IntegerType())]
-    return ready.mapInArrow(run, T.StructType(kinds))
+    return ready.mapInArrow(trimmed(run), T.StructType(kinds))
 
 
 def _jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(texts.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-    return joined.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ha", "hb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _overlaps(bags: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -292,6 +292,7 @@ def _in_blocks(work: Folder, open_: DataFrame, texts: DataFrame, similarity: flo
         found, order = [], np.argsort(family, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
             found += _links(texts_, bands, label, own[side[own] != 2], own[side[own] != 1], similarity)
+        trim()
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return dealt.groupBy("of", "one", "part_one", "two", "part_two").applyInArrow(run, "a long, b long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import free_name, small_batches, table, words
+from ._shared import free_name, small_batches, table, trim, words
 
 BUCKETS, HASHES, DIM = 1 << 16, 4, 8
 PREFIXES = (4, 5, 6)
@@ -247,7 +247,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("double")
     def run(hashes: pa.Array) -> pa.Array:
         flat, ends = hashes.values.to_numpy(zero_copy_only=False), hashes.offsets.to_numpy()
-        return pa.array(scores(shared.value, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
+        made = pa.array(scores(shared.value, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
+        trim()
+        return made
 
     limit = F.lit(THRESHOLD)
     if "lang" in docs.columns:
