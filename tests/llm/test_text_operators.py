@@ -238,7 +238,7 @@ def test_toxicity_held_out_accuracy(spark):
     out = llm.queries()["op3_toxicity"](spark, sf)
     held = out.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic", "score").collect()
     hit = sum(r.predicted and r.toxic for r in held)
-    assert hit / sum(r.predicted for r in held) > 0.75 and hit / sum(r.toxic for r in held) > 0.6  # some 300 toxic rows to learn from, in four languages
+    assert hit / sum(r.predicted for r in held) > 0.85 and hit / sum(r.toxic for r in held) > 0.85  # some 300 toxic rows to learn from, in four languages
     assert all(0 <= r.score <= 1 for r in held)
 
 
