@@ -1,7 +1,7 @@
 """A stored catalog's life: begun from a scan, searched, brought up to date by an overlay, and compacted.
 
 A base generation has ``metadata``, ``units`` in blocks, and the index (``postings``, ``present``). An overlay generation has
-``upserts``, ``tombstones`` and the ``delta`` units of files whose content changed, and names its base as its parent. Both are
+``upserts``, ``tombstones`` and the ``delta`` units of files whose content changed, and names its base. Both are
 committed whole by the store, so a reader sees the state before or after a change and nothing between.
 """
 
@@ -122,9 +122,9 @@ class Catalog:
         """The newest sound generation and what it builds on."""
         number, tables = self.store.latest()
         found = self.store.manifest(number)
-        if found["parent"] is None:
+        if found["base"] is None:
             return Loaded(number, number, found["notes"], tables, None)
-        return Loaded(number, found["parent"], found["notes"], self.store.load(found["parent"], contents=False), tables)
+        return Loaded(number, found["base"], found["notes"], self.store.load(found["base"], contents=False), tables)
 
     def commit(self, upserts: DataFrame, tombstones: DataFrame, files: DataFrame, position: int) -> int:
         """An overlay on the newest base: records with ``content_changed``, gone ids, and the texts of changed files."""
@@ -132,7 +132,7 @@ class Catalog:
         changed = files.join(upserts.where("content_changed").select("file_id"), "file_id", "left_semi")
         keyed = metadata.searchable(upserts.select(*[c for c in upserts.columns if c not in ("name_key", "path_key")]))
         tables = {"upserts": keyed, "tombstones": tombstones.select("file_id"), "delta": self._units(changed)}
-        return self.store.publish(tables, parent=now.base_number, notes={"kind": "overlay", "position": position})
+        return self.store.publish(tables, parent=now.number, base=now.base_number, notes={"kind": "overlay", "position": position})
 
     def reconcile(self, observed: DataFrame, files: DataFrame, position: int = 0) -> int | None:
         """Bring the catalog to what a scan observed: an overlay, or a new base if changes are many; None if nothing changed since."""

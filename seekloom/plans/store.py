@@ -66,10 +66,11 @@ class Store:
             raise ValueError(f"generation {number} is of another format or meaning")
         return found
 
-    def publish(self, tables: dict[str, DataFrame], parent: int | None = None, gate: Callable[[dict[str, int]], float] | None = None, notes: dict | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], parent: int | None = None, gate: Callable[[dict[str, int]], float] | None = None, notes: dict | None = None, base: int | None = None) -> int:
         """Write the tables and commit them; the new generation's number.
 
         ``gate`` maps written bytes by table to the index's share of its source; ``notes`` are kept in the manifest.
+        ``parent`` is the generation that this one came after, ``base`` one that it can't be read without.
         """
         if "metadata" in tables and not duplicate_ids(tables["metadata"]).isEmpty():
             raise ValueError("two records have the same id")
@@ -83,7 +84,7 @@ class Store:
         if gate is not None and (share := gate(sizes)) > MOST_INDEX_SHARE:
             self._fs.delete(self._path(f"generations/{number:010d}"), True)
             raise CapacityExceeded(f"the index takes {share:.1%} of its source")
-        body = {"format": FORMAT, "semantic_id": SEMANTIC_ID, "generation": number, "parent": parent, "rows": rows, "sums": sums, "notes": notes or {}}
+        body = {"format": FORMAT, "semantic_id": SEMANTIC_ID, "generation": number, "parent": parent, "base": base, "rows": rows, "sums": sums, "notes": notes or {}}
         fresh = self._path(f"manifests/.{uuid.uuid4().hex}")
         stream = self._fs.create(fresh, False)
         stream.write(bytearray(json.dumps(body).encode()))
@@ -113,8 +114,8 @@ class Store:
             if contents and self._summed(df)[1] != found["sums"][name]:
                 raise ValueError(f"{name} of generation {number} has other contents")
             tables[name] = df
-        if found["parent"] is not None:
-            self.manifest(found["parent"])
+        if found["base"] is not None:
+            self.manifest(found["base"])
         return tables
 
     def latest(self) -> tuple[int, dict[str, DataFrame]]:
@@ -135,12 +136,12 @@ class Store:
         for number in reversed(self.generations()):
             try:
                 self.load(number, contents=False)
-                parent = self.manifest(number)["parent"]
+                base = self.manifest(number)["base"]
             except Exception:  # noqa: BLE001
                 continue
             kept += 1
             if kept <= keep or number in needed:  # what a kept one builds on stays too
-                needed.add(parent)
+                needed.add(base)
                 continue
             self._fs.delete(self._path(f"manifests/{number:010d}.json"), False)
             self._fs.delete(self._path(f"generations/{number:010d}"), True)
