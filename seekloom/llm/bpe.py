@@ -126,8 +126,19 @@ def _ranks(spark: SparkSession, path: str | None):
     return spark.sparkContext.broadcast(blob)
 
 
-def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids``, an array of the ids of ``column`` (empty for null)."""
+def ids_of(codec: Codec, texts: list[str | None], checked: bool) -> list[list[int]]:
+    """The ids of each text; with ``checked``, a text that its ids don't decode to is an error."""
+    made = [codec.encode(t) for t in texts]
+    if checked and any(codec.decode(ids) != (t or "").encode() for ids, t in zip(made, texts, strict=True)):
+        raise ValueError("a text differs from its decoded ids")
+    return made
+
+
+def encode(docs: DataFrame, path: str | None = None, column: str = "text", checked: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids``, an array of the ids of ``column`` (empty for null).
+
+    ``checked``: ids are decoded again by the same worker, and a text that they don't give back is an error.
+    """
     ranks, out = _ranks(docs.sparkSession, path), free_name(docs, "token_ids")
     at = docs.columns.index(column)
 
@@ -135,7 +146,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> Da
         codec = _codec(ranks.value)
         for batch in batches:
             for part in _slices(batch):
-                ids = pa.array([codec.encode(t) for t in part.column(at).to_pylist()], pa.list_(pa.int32()))
+                ids = pa.array(ids_of(codec, part.column(at).to_pylist(), checked), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*batch.schema.names, out])
 
     return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))

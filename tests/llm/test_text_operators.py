@@ -189,6 +189,18 @@ def test_tree_encoding_is_one_pass(leaf):
     assert codec.encode("a" * 3000) == plain.encode_ordinary("a" * 3000)
 
 
+def test_checked_ids(monkeypatch):
+    """A decoder that loses a byte is found out."""
+    right = bpe.Codec.decode
+    with open(public_tokenizers.path(bpe.RANKS), "rb") as file:
+        codec = bpe.Codec(file.read())
+    assert bpe.ids_of(codec, ["some words", None, ""], checked=True)[1:] == [[], []]
+    monkeypatch.setattr(bpe.Codec, "decode", lambda self, ids: right(self, ids)[:-1])
+    assert len(bpe.ids_of(codec, ["some words"], checked=False)[0]) > 0
+    with pytest.raises(ValueError, match="differs"):
+        bpe.ids_of(codec, ["some words"], checked=True)
+
+
 def test_encode_and_decode_frames(spark):
     docs = edge_docs(spark)
     made = bpe.encode(docs)
@@ -196,6 +208,7 @@ def test_encode_and_decode_frames(spark):
     back = bpe.decode(made, column="_token_ids").collect()
     assert len(back) == docs.count() and all(bytes(r.decoded) == (r.text or "").encode() for r in back)
     assert bpe.encode(empty_docs(spark)).count() == 0
+    assert bpe.encode(docs, checked=True).select("_token_ids").collect() == made.select("_token_ids").collect()
     digest = {r.doc_id: r for r in bpe.digests(docs).collect()}
     assert digest[3].n_tokens == 0 and digest[2].decoded_sha256 == hashlib.sha256(b"").hexdigest()
 
