@@ -82,7 +82,7 @@ class Folder:
 
 
 #: Rows and bytes that a Python worker is handed at a time.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
