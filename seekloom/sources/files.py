@@ -293,6 +293,24 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.select("path", extension(F.col("path")).alias("kind"), "content").where(F.col("kind").isin(*DOCUMENT_EXTENSIONS)).mapInPandas(run, UNIT_SCHEMA)
 
 
+def mixed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """What a catalog of a local folder begins with: records with ``content_searchable``, and ``file_id, text``.
+
+    Texts are those of text files that are valid UTF-8 and, unit by unit on lines of their own, of documents
+    that can be read. All other files have a record only.
+    """
+    records = metadata_table(spark, root)
+    found = scan(spark, root)
+    units = extracted(found.where(extractable(F.col("path")))).where("problem IS NULL")
+    lines = F.sort_array(F.collect_list(F.struct("line_number", "raw")))["raw"]  # one document's
+    documents = units.groupBy("path").agg(F.array_join(lines, "\n").alias("text"))
+    text = F.col("content").cast("string")
+    texts = found.where(searchable(F.col("path")) & F.is_valid_utf8(text)).select("path", text.alias("text"))
+    files = records.where("kind = 'File'").select("file_id", "path").join(texts.unionByName(documents), "path").select("file_id", "text")
+    known = files.select("file_id", F.lit(True).alias("content_searchable"))
+    return records.join(known, "file_id", "left").withColumn("content_searchable", F.coalesce("content_searchable", F.lit(False))), files
+
+
 def html_units(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """``file_id, line_number, raw``: the text between tags of web pages, piece by piece.
 
