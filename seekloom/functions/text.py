@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small_batches
+
 #: What results depend on: a change makes stored units unusable.
 SEMANTIC_ID = f"nfc-fullfold-unicode-{unicodedata.unidata_version}"
 
@@ -159,6 +161,7 @@ def units(files: DataFrame, text: str = "text", file_id: str = "doc_id") -> Data
 
 def normalised_units(files: DataFrame, case_sensitive: bool = False, **names: str) -> DataFrame:
     """:func:`units` with ``folded``, ``identity`` and ``origins``: what ingest stores."""
+    small_batches(files.sparkSession)
     made = units(files, **names).withColumn("n", normalised(F.col("raw"), case_sensitive))
     return made.select("file_id", "line_number", "raw", "n.folded", "n.identity", "n.origins")
 

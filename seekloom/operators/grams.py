@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import small_batches, trimmed
 from ..functions.text import normalise_query
 from .search import text_bytes
 
@@ -27,6 +28,10 @@ RARE_DF = 64
 #: Shares of the source that the postings of three bytes, and those of four and five, may take.
 SHARES = {3: 0.010, 4: 0.0025, 5: 0.0025}
 POSTING_BYTES = 4
+#: Starts of windows that are made at once, which take some sixty bytes each; grams that a task holds before it counts them.
+PIECE, HELD = 1 << 18, 1 << 20
+#: Bytes of a sieve, odd so that grams spread over all of it.
+SIEVES = (8191, 131071, 2097143, 8388593, 16777213)
 
 
 def packed(units: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -45,7 +50,8 @@ def packed(units: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
                 made[k] = block
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], [*batch.schema.names, "block_id"])
 
-    return units.mapInArrow(run, T.StructType([*units.schema.fields, T.StructField("block_id", T.LongType(), False)]))
+    small_batches(units.sparkSession)
+    return units.mapInArrow(trimmed(run), T.StructType([*units.schema.fields, T.StructField("block_id", T.LongType(), False)]))
 
 
 def code(data: bytes) -> int:
@@ -58,44 +64,149 @@ def shown(gram: Column, width: int = WIDTH) -> Column:
     return F.right(F.hex(gram), F.lit(2 * width))
 
 
-def _windows(column: pa.Array, owner: np.ndarray, width: int) -> np.ndarray:
-    """The different windows of ``width`` bytes of each owner's texts: numbers with the owner above the bytes."""
-    data, ends = text_bytes(column)
-    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+def _different(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and how often each comes. Sorts ``values`` in place, which is far faster than ``np.unique``."""
+    values.sort()
+    first = np.flatnonzero(np.diff(values, prepend=~values[:1]))
+    return values[first], np.diff(first, append=len(values))
+
+
+def _windows(data: bytes, ends: np.ndarray, owner: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The different windows of ``width`` bytes of each owner's texts: numbers with the owner above the bytes.
+
+    ``PIECE`` starts at a time, wherever texts end, so a long text takes no more memory than short ones; what two pieces share comes twice.
+    """
+    raw = np.frombuffer(data, np.uint8)
     n = len(raw) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    value = np.zeros(n, np.int64)
-    for k in range(width):
-        value = value << 8 | raw[k : k + n]
-    unit = np.repeat(np.arange(len(column)), np.diff(ends))[:n]
-    inside = np.arange(n) + width <= ends[unit + 1]
-    return np.unique(owner[unit[inside]] << 8 * width | value[inside])
-
-
-def _pairs(units: DataFrame, width: int, block: str) -> DataFrame:
-    """``gram, block_id``: each pair once from each batch."""
-    if not 1 <= width <= 5:
+    for low in range(0, n, PIECE):
+        high = min(low + PIECE, n)
+        value = raw[low:high].astype(np.int64)
+        for k in range(1, width):
+            value <<= 8
+            value |= raw[low + k : high + k]
+        first, last = np.searchsorted(ends, [low, high - 1], "right") - 1
+        sizes = np.diff(np.clip(ends[first : last + 2], low, high))
+        value |= np.repeat(owner[first : last + 1] << 8 * width, sizes)
+        inside = np.arange(low + width, high + width) <= np.repeat(ends[first + 1 : last + 2], sizes)
+        yield _different(value[inside])[0]
+
+
+class _Blocks:
+    """Windows of one width of a task's blocks, each once if the rows of its block follow each other; else once for each run of them.
+
+    The last block of a batch stays open until the next batch begins with another one.
+    """
+
+    def __init__(self, width: int) -> None:
+        self.width, self.open = width, None
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Blocks that have ended, places among them, and beside each place a gram."""
+        if not batch.num_rows:
+            return
+        coded = batch.column(0).dictionary_encode("encode")
+        index = coded.indices.to_numpy()
+        fresh = np.diff(index, prepend=-1) != 0
+        blocks, owner = coded.dictionary.take(pa.array(index[fresh])), np.cumsum(fresh) - 1
+        found = list(_windows(*text_bytes(batch.column(1)), owner, self.width))
+        if self.open is not None and self.open[0].equals(blocks[:1]):
+            found.append(self.open[1])  # the first owner is 0
+        else:
+            yield from self.end()
+        both = found[0] if len(found) == 1 else _different(np.concatenate([np.zeros(0, np.int64), *found]))[0]
+        last, mask = len(blocks) - 1, (1 << 8 * self.width) - 1
+        cut = np.searchsorted(both, last << 8 * self.width)
+        self.open = blocks[last:], both[cut:] & mask
+        if last:
+            yield blocks[:last], both[:cut] >> 8 * self.width, both[:cut] & mask | self.width << 56
+
+    def end(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        if self.open is not None:
+            yield self.open[0], np.zeros(len(self.open[1]), np.int64), self.open[1] | self.width << 56
+        self.open = None
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """What :class:`_Blocks` gives for all widths, in one pass over the batches."""
+    made = [_Blocks(w) for w in widths]
+    for batch in batches:
+        for one in made:
+            yield from one.add(batch)
+    for one in made:
+        yield from one.end()
+
+
+def _texts(units: DataFrame, widths: tuple[int, ...], block: str) -> DataFrame:
+    if not all(1 <= w <= 5 for w in widths):
         raise ValueError("grams have one to five bytes")
+    small_batches(units.sparkSession)
+    return units.where("folded IS NOT NULL").select(F.col(block).alias("block_id"), "folded")
+
+
+def _pairs(units: DataFrame, widths: tuple[int, ...], block: str, sieve: np.ndarray | None = None) -> DataFrame:
+    """``gram, block_id``: each pair once from each run of a block's rows; with a sieve, of the grams that it lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = batch.column(0).dictionary_encode()
-            both = _windows(batch.column(1), blocks.indices.to_numpy().astype(np.int64), width)
-            which, value = both >> 8 * width, both & ((1 << 8 * width) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(value | width << 56), blocks.dictionary.take(pa.array(which))], ["gram", "block_id"])
+        for blocks, which, gram in _by_block(batches, widths):
+            if sieve is not None:
+                place = gram % (8 * len(sieve))
+                through = (sieve[place >> 3] >> (place & 7) & 1).astype(bool)
+                which, gram = which[through], gram[through]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), blocks.take(pa.array(which))], ["gram", "block_id"])
+
+    rows = _texts(units, widths, block)
+    return rows.mapInArrow(trimmed(run), T.StructType([T.StructField("gram", T.LongType()), rows.schema["block_id"]]))
+
+
+def _counts(units: DataFrame, widths: tuple[int, ...], block: str) -> DataFrame:
+    """``gram, block_id, n``: partial counts of the runs of blocks that have a gram, and of the runs of a block where the gram is null.
+
+    Blocks are counted where they are made, so no pair of a gram and a block is shuffled.
+    """
+    kind = units.schema[block].dataType
+    fields = T.StructType([T.StructField("gram", T.LongType()), T.StructField("block_id", kind), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, names = [], 0, ["gram", "block_id", "n"]
+
+        def summed() -> pa.RecordBatch:
+            gram, n = _different(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(gram), pa.nulls(len(gram), ended), pa.array(n)], names)
 
-    rows = units.where("folded IS NOT NULL").select(F.col(block).alias("block_id"), "folded")
-    return rows.mapInArrow(run, T.StructType([T.StructField("gram", T.LongType()), rows.schema["block_id"]]))
+        for blocks, _, gram in _by_block(batches, widths):
+            ended = blocks.type
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64()), blocks, pa.array(np.ones(len(blocks), np.int64))], names)
+            held.append(gram)
+            size += len(gram)
+            if size >= HELD:
+                yield summed()
+                held, size = [], 0
+        if held:
+            yield summed()
+
+    return _texts(units, widths, block).mapInArrow(trimmed(run), fields)
 
 
 def grams(units: DataFrame, width: int = WIDTH, block: str = "file_id") -> DataFrame:
     """``gram, block_id``, each pair once.
 
-    A batch's texts are one run of bytes, whose windows are numbers; a block that several batches share is merged by a shuffle of
-    what is left, which is a small part of the text.
+    A batch's texts are one run of bytes, whose windows are numbers; a block that comes in several places is merged by a shuffle of
+    what is left. Where only counts are wanted, :func:`frequencies` does without it.
+    """
+    return _pairs(units, (width,), block).distinct()
+
+
+def frequencies(units: DataFrame, width: int = WIDTH, block: str = "file_id", most: int | None = RARE_DF + 1) -> DataFrame:
+    """``gram, df`` as of :func:`grams`: blocks with the gram, counted up to ``most`` (None: all).
+
+    Blocks whose rows follow each other, as the lines of a file do, are counted by the task that has them. If any block comes in
+    several places, which the same pass tells, pairs are shuffled.
     """
-    return _pairs(units, width, block).distinct()
+    made = _counts(units, (width,), block).groupBy("gram", "block_id").agg(F.sum("n").alias("n")).persist()
+    if not made.where("gram IS NULL AND n > 1").isEmpty():
+        made.unpersist()
+        made = grams(units, width, block).groupBy("gram").agg(F.count("*").alias("n"))
+    return made.where("gram IS NOT NULL").select("gram", (F.col("n") if most is None else F.least("n", F.lit(most))).cast("long").alias("df"))
 
 
 def document_frequency(table: DataFrame, most: int = RARE_DF + 1) -> DataFrame:
@@ -151,6 +262,24 @@ def budget_greedy(frequencies: DataFrame, limit_rows: int) -> DataFrame:
     return frequencies.where(F.col("df").isin(kept) if kept else F.lit(False))
 
 
+def _sieve(kept: DataFrame, most: int) -> np.ndarray:
+    """Bytes whose bits are set at the remainder of each kept gram by their number: few others pass while bits are many times ``most``.
+
+    The size has a bound, and so has what comes to the driver: a row for each word of bits at most.
+    """
+    size = next((n for n in SIEVES if n >= 2 * most), SIEVES[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(0).to_numpy() % (8 * size)
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 5), pa.array(np.int64(1) << (place & 31))], ["word", "bits"])
+
+    words = kept.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(size // 4 + 1, "<u4")
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype("<u4")
+    return bits.view(np.uint8)[:size]
+
+
 class Index:
     """Kept postings and the grams that occur, for units with ``block_id``."""
 
@@ -163,18 +292,18 @@ class Index:
 
         Of grams of four and five bytes only those kept are stored; of three all are, so a gram that nothing has ends a search.
         """
-        # Units of a block follow each other, so a pair comes again only where a batch ends within its block: that
+        # Units of a block follow each other, so a pair comes again only where a block is read by two tasks: that
         # may count a gram as a little more frequent, which costs a posting at most and never a result.
-        postings, present = [], []
-        for width, share in (SHARES if shares is None else shares).items():
-            table = _pairs(units, width, "block_id")
-            df = table.groupBy("gram").agg(F.count("*").alias("all")).select("gram", F.least("all", F.lit(RARE_DF + 1)).alias("df")).persist()
-            kept = budget(df, int(source_bytes * share / POSTING_BYTES)).select("gram")
-            postings.append(table.join(kept, "gram").distinct())
-            if width == WIDTH:
-                present.append(df)
+        shares = SHARES if shares is None else shares
+        widths, rows = tuple(shares), {width: int(source_bytes * share / POSTING_BYTES) for width, share in shares.items()}
+        counted = _counts(units, widths, "block_id").where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("all"))
+        df = counted.select("gram", F.least("all", F.lit(RARE_DF + 1)).cast("long").alias("df")).persist()
+        of_width = {width: df.where(F.col("gram").between(width << 56, (width + 1 << 56) - 1)) for width in widths}
         merge = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(merge(tables[1:]))
-        return {"postings": merge(postings).select("gram", "block_id").orderBy("gram"), "present": merge(present).orderBy("gram")}
+        kept = merge([budget(of_width[width], rows[width]).select("gram") for width in widths])
+        # most pairs are of grams that aren't kept: few others leave Python, and the join takes those out
+        postings = _pairs(units, widths, "block_id", _sieve(kept, sum(rows.values()))).join(kept, "gram").distinct()
+        return {"postings": postings.select("gram", "block_id").orderBy("gram"), "present": of_width[WIDTH].orderBy("gram")}
 
     def blocks(self, query: str, case_sensitive: bool = False) -> list[int] | None:
         """The blocks that can have the query; None if all can. At most ``RARE_DF`` of them, as each kept gram is in no more."""
@@ -202,16 +331,16 @@ class Index:
         return units.where(F.col("block_id").isin(blocks) if blocks else F.lit(False))
 
 
-def capacity(units: DataFrame, table: DataFrame, share: float = SHARES[WIDTH]) -> DataFrame:
+def capacity(units: DataFrame, share: float = SHARES[WIDTH]) -> DataFrame:
     """One row: source bytes, grams, posting rows, those that the budget keeps, and the bytes of these for each source byte."""
     source = units.agg(F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)).cast("long").alias("source_bytes"))
-    df = document_frequency(table)
-    classes = df.groupBy("df").agg(F.count("*").alias("grams"))
+    exact = frequencies(units, most=None)
+    classes = exact.groupBy(F.least("df", F.lit(RARE_DF + 1)).alias("df")).agg(F.count("*").alias("grams"), F.sum("df").alias("postings"))
     # classes are at most RARE_DF + 1 rows
-    rows = classes.join(F.broadcast(source)).withColumn("rows", F.when(F.col("df") <= RARE_DF, F.col("grams") * F.col("df")).otherwise(0))
+    rows = classes.join(F.broadcast(source)).withColumn("rows", F.when(F.col("df") <= RARE_DF, F.col("postings")).otherwise(0))
     total = rows.withColumn("total", F.sum("rows").over(Window.orderBy("df")))
     fits = (F.col("df") <= RARE_DF) & (F.col("total") <= F.floor(F.col("source_bytes") * F.lit(share) / POSTING_BYTES))
-    kept = total.agg(F.coalesce(F.sum("grams"), F.lit(0)).cast("long").alias("grams"), F.coalesce(F.sum(F.when(fits, F.col("rows"))), F.lit(0)).cast("long").alias("kept_postings"))
-    postings = table.agg(F.count("*").alias("postings"))
-    out = source.join(F.broadcast(kept)).join(F.broadcast(postings))
+    summed = lambda column: F.coalesce(F.sum(column), F.lit(0)).cast("long")
+    kept = total.agg(summed("grams").alias("grams"), summed(F.when(fits, F.col("rows"))).alias("kept_postings"), summed("postings").alias("postings"))
+    out = source.join(F.broadcast(kept))
     return out.withColumn("ratio", F.when(F.col("source_bytes") == 0, 0.0).otherwise(F.col("kept_postings") * float(POSTING_BYTES) / F.col("source_bytes")))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import small_batches, trimmed
 from ..functions.pattern import Pattern, compile_regex, compile_wildcard
 from ..functions.text import normalise_query, starts_of
 
@@ -69,8 +70,9 @@ def literal_hits(units: DataFrame, query: str, case_sensitive: bool = False) ->
             rows, offsets = pa.array(rows[kept]), pa.array(offsets[kept].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), offsets], list(ORDER))
 
+    small_batches(units.sparkSession)
     kept = literal_units(units, query, case_sensitive).select("file_id", "line_number", "folded", "origins")
-    return kept.mapInArrow(run, T.StructType([kept.schema["file_id"], kept.schema["line_number"], T.StructField("byte_offset", T.IntegerType())]))
+    return kept.mapInArrow(trimmed(run), T.StructType([kept.schema["file_id"], kept.schema["line_number"], T.StructField("byte_offset", T.IntegerType())]))
 
 
 def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -87,6 +89,7 @@ def pattern_units(units: DataFrame, pattern: Pattern) -> DataFrame:
     The literal that each match must hold goes first; patterns on which Java's matcher could
     take very long, or whose classes it knows from other tables, are left to Python.
     """
+    small_batches(units.sparkSession)
     if pattern.mandatory:
         units = units.where(F.contains("folded", F.lit(pattern.mandatory)))
     if pattern.in_jvm:
@@ -101,6 +104,7 @@ def pattern_units(units: DataFrame, pattern: Pattern) -> DataFrame:
 
 def pattern_hits(units: DataFrame, pattern: Pattern) -> DataFrame:
     """All starts of matches of a pattern."""
+    small_batches(units.sparkSession)
     if pattern.mandatory:
         units = units.where(F.contains("folded", F.lit(pattern.mandatory)))
     if pattern.in_jvm:

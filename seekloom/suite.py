@@ -345,8 +345,8 @@ g AS (SELECT DISTINCT file_id AS block_id, substr(bytes, 2 * i - 1, 6) AS gram F
 _DF = f"{_G}, df AS (SELECT gram, CAST(least(count(*), 65) AS BIGINT) AS df FROM g GROUP BY gram)"
 
 
-def _grams(spark, d, width=3):
-    return g.grams(_units(spark, d), width)
+def _frequencies(spark, d, width=3):
+    return g.frequencies(_units(spark, d), width)
 
 
 def _shown(frequencies, width=3):
@@ -355,33 +355,33 @@ def _shown(frequencies, width=3):
 
 @query(f"WITH {_DF} SELECT gram, df FROM df")
 def gram_df(spark, d):
-    return _shown(g.document_frequency(_grams(spark, d)))
+    return _shown(_frequencies(spark, d))
 
 
 @query(f"""WITH {_G}, w AS (SELECT DISTINCT file_id AS block_id, substr(bytes, 2 * i - 1, 10) AS gram FROM (SELECT file_id, bytes, unnest(range(1, length(bytes) // 2 - 3)) AS i FROM s))
 SELECT gram, CAST(least(count(*), 65) AS BIGINT) AS df FROM w GROUP BY gram""")
 def gram_df_five(spark, d):
     """Grams of five bytes."""
-    return _shown(g.document_frequency(_grams(spark, d, 5)), 5)
+    return _shown(_frequencies(spark, d, 5), 5)
 
 
 @query(f"WITH {_DF} SELECT gram, df FROM df ORDER BY df, gram LIMIT 50")
 def gram_rare(spark, d):
-    return _shown(g.rarest(g.document_frequency(_grams(spark, d)), 50))
+    return _shown(g.rarest(_frequencies(spark, d), 50))
 
 
 @query(f"WITH {_DF}, k AS (SELECT df, sum(sum(df)) OVER (ORDER BY df) AS total FROM df WHERE df <= 64 GROUP BY df) SELECT gram, df.df AS df FROM df JOIN k USING (df) WHERE total <= 2000")
 def gram_budget(spark, d):
-    return _shown(g.budget(g.document_frequency(_grams(spark, d)), 2000))
+    return _shown(g.budget(_frequencies(spark, d), 2000))
 
 
 @query(f"WITH {_G} SELECT block_id FROM g WHERE gram IN ('{"', '".join(sorted({('worthless'[i:i + 3]).encode().hex().upper() for i in range(7)}))}') GROUP BY block_id HAVING count(*) = 7")
 def gram_candidates(spark, d):
-    return g.candidates(_grams(spark, d), "Worthless")
+    return g.candidates(g.grams(_units(spark, d)), "Worthless")
 
 
 def _indexed(spark, d):
-    units = g.packed(_units(spark, d), 1 << 16).persist()
+    units = g.packed(_units(spark, d).drop("raw"), 1 << 16).persist()
     source = units.agg(F.coalesce(F.sum(F.octet_length("folded") + 1), F.lit(0)).alias("n")).head()["n"]
     return units, g.Index(**g.Index.build(units, source))
 
@@ -405,8 +405,7 @@ k AS (SELECT df, CASE WHEN df <= 64 THEN count(*) * df ELSE 0 END AS rows, sum(C
 p AS (SELECT CAST(coalesce(sum(rows), 0) AS BIGINT) AS kept_postings FROM k WHERE df <= 64 AND total <= (SELECT floor(source_bytes * 0.01 / 4) FROM src))
 SELECT source_bytes, (SELECT count(*) FROM df) AS grams, kept_postings, (SELECT count(*) FROM g) AS postings, kept_postings * 4.0 / source_bytes AS ratio FROM src, p""")
 def capacity_report(spark, d):
-    units = _units(spark, d)
-    return g.capacity(units, g.grams(units)).withColumn("ratio", F.col("ratio").cast("double"))
+    return g.capacity(_units(spark, d)).withColumn("ratio", F.col("ratio").cast("double"))
 
 
 # --- overlay ---------------------------------------------------------------
