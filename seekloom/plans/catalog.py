@@ -104,15 +104,16 @@ class Catalog:
         return grams.packed(normalised_units(files, text="text", file_id="file_id"), self.block_bytes)
 
     def _base(self, records: DataFrame, units: DataFrame, position: int) -> int:
-        units = units.persist()
-        try:
-            source = units.agg(F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)).alias("n")).head()["n"]
-            tables = {"metadata": metadata.searchable(records), "units": units, **grams.Index.build(units, source)}
-            # small sources are all headers; the gate is for those that a share can be taken of
-            gate = lambda sizes: (sizes["postings"] + sizes["present"]) / max(source, 1 << 24)
-            return self.store.publish(tables, gate=gate, notes={"kind": "base", "position": position})
-        finally:
-            units.unpersist()
+        source = 0
+
+        def index(stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            nonlocal source
+            source = stored["units"].agg(F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)).alias("n")).head()["n"]
+            return grams.Index.build(stored["units"], source)
+
+        # small sources are all headers; the gate is for those that a share can be taken of
+        gate = lambda sizes: (sizes["postings"] + sizes["present"]) / max(source, 1 << 24)
+        return self.store.publish({"metadata": metadata.searchable(records), "units": units}, gate=gate, notes={"kind": "base", "position": position}, derived=index)
 
     def initialise(self, records: DataFrame, files: DataFrame, position: int = 0) -> int:
         """The first generation. ``position`` is the journal's from before the scan, so no change is missed."""

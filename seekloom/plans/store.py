@@ -66,21 +66,30 @@ class Store:
             raise ValueError(f"generation {number} is of another format or meaning")
         return found
 
-    def publish(self, tables: dict[str, DataFrame], parent: int | None = None, gate: Callable[[dict[str, int]], float] | None = None, notes: dict | None = None, base: int | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], parent: int | None = None, gate: Callable[[dict[str, int]], float] | None = None, notes: dict | None = None, base: int | None = None, derived: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> int:
         """Write the tables and commit them; the new generation's number.
 
+        ``derived`` gives further tables from those that are written: it gets them as they are stored, so what they are made of isn't made again.
+
         ``gate`` maps written bytes by table to the index's share of its source; ``notes`` are kept in the manifest.
         ``parent`` is the generation that this one came after, ``base`` one that it can't be read without.
         """
         if "metadata" in tables and not duplicate_ids(tables["metadata"]).isEmpty():
             raise ValueError("two records have the same id")
         number = self.next_number()
-        sizes, rows, sums = {}, {}, {}
-        for name, df in tables.items():
+        sizes, rows, sums, stored = {}, {}, {}, {}
+
+        def write(name: str, df: DataFrame) -> None:
             path = f"{self.root}/generations/{number:010d}/{name}"
             df.write.mode("errorifexists").parquet(path)
             sizes[name] = self._fs.getContentSummary(self._jvm.org.apache.hadoop.fs.Path(path)).getLength()
-            rows[name], sums[name] = self._summed(self.spark.read.parquet(path))
+            stored[name] = self.spark.read.parquet(path)
+            rows[name], sums[name] = self._summed(stored[name])
+
+        for name, df in tables.items():
+            write(name, df)
+        for name, df in (derived(dict(stored)) if derived else {}).items():
+            write(name, df)
         if gate is not None and (share := gate(sizes)) > MOST_INDEX_SHARE:
             self._fs.delete(self._path(f"generations/{number:010d}"), True)
             raise CapacityExceeded(f"the index takes {share:.1%} of its source")
@@ -109,9 +118,10 @@ class Store:
         tables = {}
         for name, rows in found["rows"].items():
             df = self.spark.read.parquet(f"{self.root}/generations/{number:010d}/{name}")
-            if df.count() != rows:
+            n, total = self._summed(df) if contents else (df.count(), None)
+            if n != rows:
                 raise ValueError(f"{name} of generation {number} has lost rows")
-            if contents and self._summed(df)[1] != found["sums"][name]:
+            if contents and total != found["sums"][name]:
                 raise ValueError(f"{name} of generation {number} has other contents")
             tables[name] = df
         if found["base"] is not None:
