@@ -8,6 +8,7 @@ can stand only in blocks that have all its kept grams, so a search reads a bound
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ POSTING_BYTES = 4
 #: Starts of windows that are made at once, which take some sixty bytes each; grams that a task holds before it counts them.
 PIECE, HELD = 1 << 18, 1 << 20
 #: Bytes of a sieve, odd so that grams spread over all of it.
-SIEVES = (8191, 131071, 2097143, 8388593, 16777213)
+SIEVES = (8191, 131071, 2097143, 8388593, 16777213, 33554393)
 
 
 def packed(units: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -71,34 +72,49 @@ def _different(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(first, append=len(values))
 
 
-def _windows(data: bytes, ends: np.ndarray, owner: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """The different windows of ``width`` bytes of each owner's texts: numbers with the owner above the bytes.
+def _windows(data: bytes, ends: np.ndarray, owner: np.ndarray, narrow: int, width: int) -> Iterator[np.ndarray]:
+    """The different windows of ``narrow`` to ``width`` bytes of each owner's texts, in order: :func:`_of_width` has those of one width.
 
-    ``PIECE`` starts at a time, wherever texts end, so a long text takes no more memory than short ones; what two pieces share comes twice.
+    A number is, from above, the owner, ``width`` bytes from a start on, and how many of them are the text's: fewer near its end, where
+    zeros follow. So one sort serves all widths. ``PIECE`` starts are taken at a time, wherever texts end, so a long text takes no
+    more memory than short ones; what two pieces share comes twice.
     """
-    raw = np.frombuffer(data, np.uint8)
-    n = len(raw) - width + 1
-    for low in range(0, n, PIECE):
-        high = min(low + PIECE, n)
+    raw = np.frombuffer(data + bytes(width), np.uint8)
+    for low in range(0, len(data), PIECE):
+        high = min(low + PIECE, len(data))
         value = raw[low:high].astype(np.int64)
         for k in range(1, width):
             value <<= 8
             value |= raw[low + k : high + k]
+        value <<= 3
+        value |= width
         first, last = np.searchsorted(ends, [low, high - 1], "right") - 1
         sizes = np.diff(np.clip(ends[first : last + 2], low, high))
-        value |= np.repeat(owner[first : last + 1] << 8 * width, sizes)
-        inside = np.arange(low + width, high + width) <= np.repeat(ends[first + 1 : last + 2], sizes)
-        yield _different(value[inside])[0]
+        value |= np.repeat(owner[first : last + 1] << 8 * width + 3, sizes)
+        near = slice(first, np.searchsorted(ends, high + width) + 1)
+        begin, end = ends[near][:-1], ends[near][1:]
+        for k in range(1, width):
+            at = end - k
+            at = at[(at >= np.maximum(begin, low)) & (at < high)] - low
+            value[at] = (value[at] >> 8 * (width - k) + 3 << 8 * (width - k) + 3 | k) if k >= narrow else -1
+        found = _different(value)[0]
+        yield found[1:] if len(found) and found[0] < 0 else found
+
+
+def _of_width(windows: np.ndarray, width: int, most: int) -> np.ndarray:
+    """Of windows of up to ``most`` bytes, in order, the different ones of ``width`` bytes: the owner above the bytes, in order."""
+    values = windows[windows & 7 >= width] >> 8 * (most - width) + 3
+    return values[np.diff(values, prepend=-1) != 0]
 
 
 class _Blocks:
-    """Windows of one width of a task's blocks, each once if the rows of its block follow each other; else once for each run of them.
+    """Windows of a task's blocks, each once if the rows of its block follow each other; else once for each run of them.
 
     The last block of a batch stays open until the next batch begins with another one.
     """
 
-    def __init__(self, width: int) -> None:
-        self.width, self.open = width, None
+    def __init__(self, widths: tuple[int, ...]) -> None:
+        self.widths, self.most, self.open = widths, max(widths), None
 
     def add(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """Blocks that have ended, places among them, and beside each place a gram."""
@@ -108,32 +124,35 @@ class _Blocks:
         index = coded.indices.to_numpy()
         fresh = np.diff(index, prepend=-1) != 0
         blocks, owner = coded.dictionary.take(pa.array(index[fresh])), np.cumsum(fresh) - 1
-        found = list(_windows(*text_bytes(batch.column(1)), owner, self.width))
+        found = list(_windows(*text_bytes(batch.column(1)), owner, min(self.widths), self.most))
         if self.open is not None and self.open[0].equals(blocks[:1]):
             found.append(self.open[1])  # the first owner is 0
         else:
             yield from self.end()
         both = found[0] if len(found) == 1 else _different(np.concatenate([np.zeros(0, np.int64), *found]))[0]
-        last, mask = len(blocks) - 1, (1 << 8 * self.width) - 1
-        cut = np.searchsorted(both, last << 8 * self.width)
-        self.open = blocks[last:], both[cut:] & mask
+        last, bits = len(blocks) - 1, 8 * self.most + 3
+        cut = np.searchsorted(both, last << bits)
+        self.open = blocks[last:], both[cut:] & (1 << bits) - 1
         if last:
-            yield blocks[:last], both[:cut] >> 8 * self.width, both[:cut] & mask | self.width << 56
+            yield from self._grams(blocks[:last], both[:cut])
+
+    def _grams(self, blocks: pa.Array, windows: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        for width in self.widths:
+            values, mask = _of_width(windows, width, self.most), (1 << 8 * width) - 1
+            yield blocks, values >> 8 * width, values & mask | width << 56
 
     def end(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         if self.open is not None:
-            yield self.open[0], np.zeros(len(self.open[1]), np.int64), self.open[1] | self.width << 56
+            yield from self._grams(*self.open)
         self.open = None
 
 
 def _by_block(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """What :class:`_Blocks` gives for all widths, in one pass over the batches."""
-    made = [_Blocks(w) for w in widths]
+    made = _Blocks(widths)
     for batch in batches:
-        for one in made:
-            yield from one.add(batch)
-    for one in made:
-        yield from one.end()
+        yield from made.add(batch)
+    yield from made.end()
 
 
 def _texts(units: DataFrame, widths: tuple[int, ...], block: str) -> DataFrame:
@@ -149,9 +168,10 @@ def _pairs(units: DataFrame, widths: tuple[int, ...], block: str, sieve: np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks, which, gram in _by_block(batches, widths):
             if sieve is not None:
-                place = gram % (8 * len(sieve))
-                through = (sieve[place >> 3] >> (place & 7) & 1).astype(bool)
-                which, gram = which[through], gram[through]
+                for mixed in (False, True):
+                    place = _place(gram, mixed, len(sieve))
+                    through = (sieve[place >> 3] >> (place & 7) & 1).astype(bool)
+                    which, gram = which[through], gram[through]
             yield pa.RecordBatch.from_arrays([pa.array(gram), blocks.take(pa.array(which))], ["gram", "block_id"])
 
     rows = _texts(units, widths, block)
@@ -262,8 +282,14 @@ def budget_greedy(frequencies: DataFrame, limit_rows: int) -> DataFrame:
     return frequencies.where(F.col("df").isin(kept) if kept else F.lit(False))
 
 
+def _place(gram: np.ndarray, mixed: bool, size: int) -> np.ndarray:
+    """The bit of each gram in a sieve of so many bytes: its remainder, or that of its bits ``mixed`` by a multiplication."""
+    value = (gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)).astype(np.int64) if mixed else gram
+    return value % (8 * size)
+
+
 def _sieve(kept: DataFrame, most: int) -> np.ndarray:
-    """Bytes whose bits are set at the remainder of each kept gram by their number: few others pass while bits are many times ``most``.
+    """Bytes with the two bits of each kept gram set: few others pass while bits are many times ``most``.
 
     The size has a bound, and so has what comes to the driver: a row for each word of bits at most.
     """
@@ -271,7 +297,8 @@ def _sieve(kept: DataFrame, most: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(0).to_numpy() % (8 * size)
+            gram = batch.column(0).to_numpy()
+            place = np.concatenate([_place(gram, mixed, size) for mixed in (False, True)])
             yield pa.RecordBatch.from_arrays([pa.array(place >> 5), pa.array(np.int64(1) << (place & 31))], ["word", "bits"])
 
     words = kept.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -295,15 +322,22 @@ class Index:
         # Units of a block follow each other, so a pair comes again only where a block is read by two tasks: that
         # may count a gram as a little more frequent, which costs a posting at most and never a result.
         shares = SHARES if shares is None else shares
+        if WIDTH not in shares:
+            raise ValueError(f"an index has grams of {WIDTH} bytes")
         widths, rows = tuple(shares), {width: int(source_bytes * share / POSTING_BYTES) for width, share in shares.items()}
         counted = _counts(units, widths, "block_id").where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("all"))
         df = counted.select("gram", F.least("all", F.lit(RARE_DF + 1)).cast("long").alias("df")).persist()
-        of_width = {width: df.where(F.col("gram").between(width << 56, (width + 1 << 56) - 1)) for width in widths}
-        merge = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(merge(tables[1:]))
-        kept = merge([budget(of_width[width], rows[width]).select("gram") for width in widths])
+        # as in budget(), for all widths at once: at most RARE_DF classes of each come to the driver
+        classes = df.where(F.col("df") <= RARE_DF).groupBy(F.shiftright("gram", 56).alias("width"), "df").agg((F.count("*") * F.col("df")).alias("rows")).orderBy("df").collect()
+        fits = F.lit(False)
+        for width in widths:
+            totals = itertools.accumulate(((c["rows"], c["df"]) for c in classes if c["width"] == width), lambda a, c: (a[0] + c[0], c[1]))
+            most = max((at for total, at in totals if total <= rows[width]), default=0)
+            fits = fits | (F.col("gram").between(width << 56, (width + 1 << 56) - 1) & (F.col("df") <= most))
+        kept = df.where(fits).select("gram")
         # most pairs are of grams that aren't kept: few others leave Python, and the join takes those out
         postings = _pairs(units, widths, "block_id", _sieve(kept, sum(rows.values()))).join(kept, "gram").distinct()
-        return {"postings": postings.select("gram", "block_id").orderBy("gram"), "present": of_width[WIDTH].orderBy("gram")}
+        return {"postings": postings.select("gram", "block_id").orderBy("gram"), "present": df.where(F.shiftright("gram", 56) == WIDTH).orderBy("gram")}
 
     def blocks(self, query: str, case_sensitive: bool = False) -> list[int] | None:
         """The blocks that can have the query; None if all can. At most ``RARE_DF`` of them, as each kept gram is in no more."""

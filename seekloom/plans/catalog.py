@@ -22,6 +22,10 @@ from .session import Request, Session
 from .store import Store
 
 
+#: Ids of files that a compaction leaves out by a broadcast, some 32 bytes each.
+MOST_GONE = 1 << 21
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names; on a local master only, of this machine if there is none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -47,13 +51,18 @@ class Loaded:
         """All records as they are now, with their search keys."""
         return self.base["metadata"] if self.overlay is None else overlay.current(self.base["metadata"], self.overlay["upserts"], self.overlay["tombstones"])
 
-    def _live(self, units: DataFrame) -> DataFrame:
-        """Base units that the overlay leaves valid: of files that are still there and whose content is as it was."""
-        if self.overlay is None:
-            return units
+    def _valid(self) -> DataFrame:
+        """``file_id`` of base units that the overlay leaves valid: of files that are still there and whose content is as it was."""
         kept = overlay.live(self.base["metadata"], self.overlay["upserts"], self.overlay["tombstones"]).select("file_id")
-        moved = self.overlay["upserts"].where("NOT content_changed").select("file_id")
-        return units.join(kept.unionByName(moved), "file_id", "left_semi")
+        return kept.unionByName(self.overlay["upserts"].where("NOT content_changed").select("file_id"))
+
+    def _live(self, units: DataFrame) -> DataFrame:
+        return units if self.overlay is None else units.join(self._valid(), "file_id", "left_semi")
+
+    def gone(self) -> DataFrame:
+        """``file_id`` of the other base units, of which there are few where changes are few."""
+        units = self.base["units"].select("file_id")
+        return units.where(F.lit(False)) if self.overlay is None else units.distinct().join(self._valid(), "file_id", "left_anti")
 
     def base_units(self, literal: str = "", case_sensitive: bool = False) -> DataFrame:
         """Valid base units, only those of blocks that can have the literal. Stored units are folded, and so is the index."""
@@ -137,23 +146,41 @@ class Catalog:
 
     def reconcile(self, observed: DataFrame, files: DataFrame, position: int = 0) -> int | None:
         """Bring the catalog to what a scan observed: an overlay, or a new base if changes are many; None if nothing changed since."""
-        now = self.load()
-        if overlay.reconcile(now.records, observed).isEmpty():
-            return None
-        actions = overlay.reconcile(now.base["metadata"], observed)
-        upserts = observed.join(actions.where("action <> 'delete'").select("file_id", "content_changed"), "file_id")
-        self.commit(upserts, actions.where("action = 'delete'"), files, position)
-        counts = actions.agg(F.count("*").alias("changes")).crossJoin(now.base["metadata"].agg(F.count("*").alias("base")))  # one row each
-        if counts.select(overlay.should_compact(F.col("changes"), F.col("base")).alias("due")).head()["due"]:
-            return self.compact()
-        return self.store.generations()[-1]
+        now, kept = self.load(), observed.is_cached
+        observed = observed.persist()  # it is read several times, and may come from a scan or joins
+        actions = overlay.reconcile(now.base["metadata"], observed).persist()
+        try:
+            if overlay.reconcile(now.records, observed).isEmpty():
+                return None
+            upserts = observed.join(actions.where("action <> 'delete'").select("file_id", "content_changed"), "file_id")
+            self.commit(upserts, actions.where("action = 'delete'"), files, position)
+            counts = actions.agg(F.count("*").alias("changes")).crossJoin(now.base["metadata"].agg(F.count("*").alias("base")))  # one row each
+            due = counts.select(overlay.should_compact(F.col("changes"), F.col("base")).alias("due")).head()["due"]
+        finally:
+            actions.unpersist()
+            if not kept:
+                observed.unpersist()
+        return self.compact() if due else self.store.generations()[-1]
 
     def compact(self) -> int:
-        """A new base of what the newest generation shows. Units are taken over as they are stored, nothing is read from the files again."""
+        """A new base of what the newest generation shows. Units are taken over as they are stored, nothing is read from the files again.
+
+        Units that are no longer valid are left out where they are read, so the others aren't shuffled; if they are of very many files,
+        all are shuffled and sorted.
+        """
         now = self.load()
-        columns = now.base["metadata"].columns
-        units = now.units.drop("block_id")
-        return self._base(now.records.select(*columns), grams.packed(units.repartitionByRange("file_id").sortWithinPartitions("file_id", "line_number"), self.block_bytes), now.notes.get("position", 0))
+        columns, gone = now.base["metadata"].columns, now.gone().persist()
+        try:
+            if now.overlay is None:
+                units = now.units
+            elif gone.count() <= MOST_GONE:
+                kept = now.base["units"].where("file_id IS NOT NULL").join(F.broadcast(gone), "file_id", "left_anti")
+                units = kept.unionByName(now.overlay["delta"])
+            else:
+                units = now.units.repartitionByRange("file_id").sortWithinPartitions("file_id", "line_number")
+            return self._base(now.records.select(*columns), grams.packed(units.drop("block_id"), self.block_bytes), now.notes.get("position", 0))
+        finally:
+            gone.unpersist()
 
     def drifted(self, observed: DataFrame) -> DataFrame:
         """``file_id`` of records whose file has another size or time than is known, or is no longer there: their units can't be trusted."""
