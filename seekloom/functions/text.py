@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,32 @@ def _recompose(chars: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _resized() -> re.Pattern:
+    """The characters whose folded form is of several characters or takes another number of bytes."""
+    found = []
+    for low in range(0, 0x110000, 256):
+        some = "".join(map(chr, range(low, low + 256)))
+        if some.casefold() != some:
+            found += [c for c in some if c.casefold() != c and (len(c.casefold()) > 1 or len(c.casefold().encode()) != len(c.encode()))]
+    return re.compile(f"[{re.escape(''.join(found))}]")
+
+
+def _folded_origins(text: str) -> list[int]:
+    """For each character of the folded text, where the one that it comes from begins in ``text``, in bytes."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    times = np.ones(len(points), np.int64)
+    for found in _resized().finditer(text):
+        times[found.start()] = len(found[0].casefold())
+    return np.repeat(np.cumsum(sizes) - sizes, times).tolist()
+
+
+def fold(text: str) -> str:
+    """The text of :func:`normalise`, where no offsets are needed."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+
+
 def normalise(text: str, case_sensitive: bool = False) -> tuple[str, list[int] | None]:
     """NFC text, fully case-folded unless ``case_sensitive``, and the byte offset in ``text`` of
     the character behind each of its characters. The offsets are None where each of the characters
@@ -63,19 +91,18 @@ def normalise(text: str, case_sensitive: bool = False) -> tuple[str, list[int] |
     """
     if text.isascii():
         return (text if case_sensitive else text.lower()), None
-    nfc = text if unicodedata.is_normalized("NFC", text) else None
-    if nfc is not None:
+    nfc = unicodedata.is_normalized("NFC", text)
+    if nfc:
         if case_sensitive:
             return text, None
         folded = text.casefold()
-        if len(folded) == len(text) and unicodedata.is_normalized("NFC", folded):
-            if all(len(a.encode()) == len(b.encode()) for a, b in zip(text, folded, strict=True) if a != b and not a.isascii()):
-                return folded, None
+        if unicodedata.is_normalized("NFC", folded):
+            return folded, _folded_origins(text) if _resized().search(text) else None
     chars, at = [], 0
     for c in text:
         chars.append((c, at))
         at += len(c.encode("utf-8", "surrogatepass"))
-    if nfc is None:
+    if not nfc:
         chars = _recompose(chars)
     if not case_sensitive:
         folded_chars = [(f, o) for c, o in chars for f in c.casefold()]
@@ -117,22 +144,19 @@ def literal_places(text: str, needle: str) -> list[int]:
     return places
 
 
+def normal_forms(raw: pa.Array, case_sensitive: bool = False) -> list[pa.Array]:
+    """``folded``, ``identity`` and ``origins`` of a batch's texts."""
+    made = [(None, None) if text is None else normalise(text, case_sensitive) for text in raw.to_pylist()]
+    folded = pa.array([f for f, _ in made], pa.string())
+    same = pa.array([None if f is None else o is None for f, o in made], pa.bool_())
+    return [folded, same, pa.array([o for _, o in made], pa.list_(pa.int32()))]
+
+
 @lru_cache(maxsize=8)
 def _normalise_udf(case_sensitive: bool):
-    @F.pandas_udf(NORMAL)
-    def run(raw: pd.Series) -> pd.DataFrame:
-        folded, same, origins = [], [], []
-        for text in raw:
-            if text is None:
-                folded.append(None)
-                same.append(None)
-                origins.append(None)
-                continue
-            f, o = normalise(text, case_sensitive)
-            folded.append(f)
-            same.append(o is None)
-            origins.append(o)
-        return pd.DataFrame({"folded": folded, "identity": same, "origins": origins})
+    @F.arrow_udf(NORMAL)
+    def run(raw: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(normal_forms(raw, case_sensitive), NORMAL.names)
 
     return run.asNondeterministic()  # else the optimizer runs it once for each use
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.batches import small_batches, trimmed
-from ..functions.text import normalise_query
+from ..functions.text import NORMAL, fold, normal_forms, normalise_query
 from .search import text_bytes
 
 # Fixed values of the pruning layer.
@@ -36,13 +36,20 @@ SIEVES = (8191, 131071, 2097143, 8388593, 16777213, 33554393)
 
 
 def packed(units: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """``units`` with ``block_id``: each task packs its units in order; one that is larger than ``limit`` is a block of its own."""
-    at = units.columns.index("folded")
+    """``units`` with ``block_id``: each task packs its units in order; one that is larger than ``limit`` is a block of its own.
+
+    Units that aren't normalised yet are normalised in the same pass, so one worker does both and texts leave the JVM once.
+    """
+    fresh = [] if "folded" in units.columns else NORMAL.fields
+    at = len(units.columns) if fresh else units.columns.index("folded")
+    raw = units.columns.index("raw") if fresh else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             made = np.empty(batch.num_rows, np.int64)
+            if fresh:
+                batch = pa.RecordBatch.from_arrays([*batch.columns, *normal_forms(batch.column(raw))], [*batch.schema.names, *NORMAL.names])
             _, ends = text_bytes(batch.column(at))
             for k, size in enumerate(np.diff(ends).tolist()):
                 if filled and filled + size + 1 > limit:
@@ -52,7 +59,7 @@ def packed(units: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], [*batch.schema.names, "block_id"])
 
     small_batches(units.sparkSession)
-    return units.mapInArrow(trimmed(run), T.StructType([*units.schema.fields, T.StructField("block_id", T.LongType(), False)]))
+    return units.mapInArrow(trimmed(run), T.StructType([*units.schema.fields, *fresh, T.StructField("block_id", T.LongType(), False)]))
 
 
 def code(data: bytes) -> int:
@@ -151,6 +158,8 @@ def _by_block(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Ite
     """What :class:`_Blocks` gives for all widths, in one pass over the batches."""
     made = _Blocks(widths)
     for batch in batches:
+        if batch.schema.names[1] == "raw":
+            batch = pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(fold, batch.column(1).to_pylist()), pa.string())], ["block_id", "folded"])
         yield from made.add(batch)
     yield from made.end()
 
@@ -159,7 +168,8 @@ def _texts(units: DataFrame, widths: tuple[int, ...], block: str) -> DataFrame:
     if not all(1 <= w <= 5 for w in widths):
         raise ValueError("grams have one to five bytes")
     small_batches(units.sparkSession)
-    return units.where("folded IS NOT NULL").select(F.col(block).alias("block_id"), "folded")
+    text = "folded" if "folded" in units.columns else "raw"  # the worker that makes the windows folds the latter itself
+    return units.where(F.col(text).isNotNull()).select(F.col(block).alias("block_id"), text)
 
 
 def _pairs(units: DataFrame, widths: tuple[int, ...], block: str, sieve: np.ndarray | None = None) -> DataFrame:

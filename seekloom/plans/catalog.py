@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalised_units
+from ..functions.text import units
 from ..operators import grams, metadata, overlay
 from ..operators.search import Limits, hits
 from .session import Request, Session
@@ -110,7 +110,7 @@ class Catalog:
         self.spark, self.store, self.block_bytes = spark, Store(spark, root), block_bytes
 
     def _units(self, files: DataFrame) -> DataFrame:
-        return grams.packed(normalised_units(files, text="text", file_id="file_id"), self.block_bytes)
+        return grams.packed(units(files, text="text", file_id="file_id"), self.block_bytes)
 
     def _base(self, records: DataFrame, units: DataFrame, position: int) -> int:
         source = 0

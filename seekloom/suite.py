@@ -43,6 +43,11 @@ def _units(spark, d, case_sensitive=False):
     return t.normalised_units(_docs(spark, d).select("doc_id", "text"), case_sensitive)
 
 
+def _raw_units(spark, d):
+    """Lines as they are, for operators that fold them in the worker that uses them."""
+    return t.units(_docs(spark, d).select("doc_id", "text"))
+
+
 # --- SQL building blocks ---------------------------------------------------
 
 _U = """u AS (SELECT doc_id AS file_id, CAST(i AS INTEGER) AS line_number, regexp_replace(parts[i], '\\r$', '') AS raw FROM (
@@ -346,7 +351,7 @@ _DF = f"{_G}, df AS (SELECT gram, CAST(least(count(*), 65) AS BIGINT) AS df FROM
 
 
 def _frequencies(spark, d, width=3):
-    return g.frequencies(_units(spark, d), width)
+    return g.frequencies(_raw_units(spark, d), width)
 
 
 def _shown(frequencies, width=3):
@@ -377,11 +382,11 @@ def gram_budget(spark, d):
 
 @query(f"WITH {_G} SELECT block_id FROM g WHERE gram IN ('{"', '".join(sorted({('worthless'[i:i + 3]).encode().hex().upper() for i in range(7)}))}') GROUP BY block_id HAVING count(*) = 7")
 def gram_candidates(spark, d):
-    return g.candidates(g.grams(_units(spark, d)), "Worthless")
+    return g.candidates(g.grams(_raw_units(spark, d)), "Worthless")
 
 
 def _indexed(spark, d):
-    units = g.packed(_units(spark, d).drop("raw"), 1 << 16).persist()
+    units = g.packed(_raw_units(spark, d), 1 << 16).drop("raw").persist()
     source = units.agg(F.coalesce(F.sum(F.octet_length("folded") + 1), F.lit(0)).alias("n")).head()["n"]
     return units, g.Index(**g.Index.build(units, source))
 
@@ -405,7 +410,7 @@ k AS (SELECT df, CASE WHEN df <= 64 THEN count(*) * df ELSE 0 END AS rows, sum(C
 p AS (SELECT CAST(coalesce(sum(rows), 0) AS BIGINT) AS kept_postings FROM k WHERE df <= 64 AND total <= (SELECT floor(source_bytes * 0.01 / 4) FROM src))
 SELECT source_bytes, (SELECT count(*) FROM df) AS grams, kept_postings, (SELECT count(*) FROM g) AS postings, kept_postings * 4.0 / source_bytes AS ratio FROM src, p""")
 def capacity_report(spark, d):
-    return g.capacity(_units(spark, d)).withColumn("ratio", F.col("ratio").cast("double"))
+    return g.capacity(_raw_units(spark, d)).withColumn("ratio", F.col("ratio").cast("double"))
 
 
 # --- overlay ---------------------------------------------------------------
