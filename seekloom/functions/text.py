@@ -69,14 +69,14 @@ def _resized() -> re.Pattern:
     return re.compile(f"[{re.escape(''.join(found))}]")
 
 
-def _folded_origins(text: str) -> list[int]:
+def _folded_origins(text: str) -> np.ndarray:
     """For each character of the folded text, where the one that it comes from begins in ``text``, in bytes."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    sizes = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-    times = np.ones(len(points), np.int64)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.int8)
+    starts = np.flatnonzero(data >= -64).astype(np.int32)  # bytes that continue a character are below
+    times = np.ones(len(starts), np.int64)
     for found in _resized().finditer(text):
         times[found.start()] = len(found[0].casefold())
-    return np.repeat(np.cumsum(sizes) - sizes, times).tolist()
+    return np.repeat(starts, times)
 
 
 def fold(text: str) -> str:
@@ -89,6 +89,12 @@ def normalise(text: str, case_sensitive: bool = False) -> tuple[str, list[int] |
     the character behind each of its characters. The offsets are None where each of the characters
     stands for the one at the same place and takes as many bytes.
     """
+    normal, origins = _normal(text, case_sensitive)
+    return normal, origins.tolist() if isinstance(origins, np.ndarray) else origins
+
+
+def _normal(text: str, case_sensitive: bool) -> tuple[str, np.ndarray | list[int] | None]:
+    """What :func:`normalise` gives, the offsets perhaps as an array."""
     if text.isascii():
         return (text if case_sensitive else text.lower()), None
     nfc = unicodedata.is_normalized("NFC", text)
@@ -146,10 +152,12 @@ def literal_places(text: str, needle: str) -> list[int]:
 
 def normal_forms(raw: pa.Array, case_sensitive: bool = False) -> list[pa.Array]:
     """``folded``, ``identity`` and ``origins`` of a batch's texts."""
-    made = [(None, None) if text is None else normalise(text, case_sensitive) for text in raw.to_pylist()]
+    made = [(None, None) if text is None else _normal(text, case_sensitive) for text in raw.to_pylist()]
     folded = pa.array([f for f, _ in made], pa.string())
     same = pa.array([None if f is None else o is None for f, o in made], pa.bool_())
-    return [folded, same, pa.array([o for _, o in made], pa.list_(pa.int32()))]
+    ends = np.cumsum([0, *(0 if o is None else len(o) for _, o in made)], dtype=np.int32)
+    values = np.concatenate([np.zeros(0, np.int32), *(np.asarray(o, np.int32) for _, o in made if o is not None)])
+    return [folded, same, pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([o is None for _, o in made], pa.bool_()))]
 
 
 @lru_cache(maxsize=8)
@@ -172,15 +180,19 @@ def normalised(raw: Column, case_sensitive: bool = False) -> Column:
 # --- units -----------------------------------------------------------------
 
 
-def lines(text: Column) -> Column:
-    """The logical lines of a text: one line end at the end makes no further line, and an empty text is one."""
-    return F.transform(F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
+def _without(text: Column, end: str) -> Column:
+    """A text without one such character at its end; far cheaper than a pattern."""
+    return F.when(F.endswith(text, F.lit(end)), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
 
 
 def units(files: DataFrame, text: str = "text", file_id: str = "doc_id") -> DataFrame:
-    """``file_id, line_number, raw`` of each logical line; files with null text have none."""
-    made = files.where(F.col(text).isNotNull()).select(F.col(file_id).alias("file_id"), F.posexplode(lines(F.col(text))).alias("line_number", "raw"))
-    return made.select("file_id", (F.col("line_number") + 1).alias("line_number"), "raw")
+    """``file_id, line_number, raw`` of each logical line; files with null text have none.
+
+    One line end at the end makes no further line, and an empty text is one.
+    """
+    parts = F.split(_without(F.col(text), "\n"), "\n", -1)
+    made = files.where(F.col(text).isNotNull()).select(F.col(file_id).alias("file_id"), F.posexplode(parts).alias("line_number", "raw"))
+    return made.select("file_id", (F.col("line_number") + 1).alias("line_number"), _without(F.col("raw"), "\r").alias("raw"))
 
 
 def normalised_units(files: DataFrame, case_sensitive: bool = False, **names: str) -> DataFrame:

@@ -29,7 +29,8 @@ RARE_DF = 64
 #: Shares of the source that the postings of three bytes, and those of four and five, may take.
 SHARES = {3: 0.010, 4: 0.0025, 5: 0.0025}
 POSTING_BYTES = 4
-#: Starts of windows that are made at once, which take some sixty bytes each; grams that a task holds before it counts them.
+#: Starts of windows that are made at once, which take some sixty bytes each; grams that a task holds before it counts them, and
+#: counts that it holds before it adds up those of the same gram.
 PIECE, HELD = 1 << 18, 1 << 20
 #: Bytes of a sieve, odd so that grams spread over all of it.
 SIEVES = (8191, 131071, 2097143, 8388593, 16777213, 33554393)
@@ -79,6 +80,17 @@ def _different(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(first, append=len(values))
 
 
+def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of grams, each in order of grams, as one: those of the same gram are added up."""
+    if len(counts) == 1:
+        return counts[0]
+    gram, n = map(np.concatenate, zip(*counts, strict=True))
+    order = np.argsort(gram, kind="stable")  # merges what is in order
+    gram = gram[order]
+    first = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+    return gram[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def _windows(data: bytes, ends: np.ndarray, owner: np.ndarray, narrow: int, width: int) -> Iterator[np.ndarray]:
     """The different windows of ``narrow`` to ``width`` bytes of each owner's texts, in order: :func:`_of_width` has those of one width.
 
@@ -111,6 +123,8 @@ def _windows(data: bytes, ends: np.ndarray, owner: np.ndarray, narrow: int, widt
 def _of_width(windows: np.ndarray, width: int, most: int) -> np.ndarray:
     """Of windows of up to ``most`` bytes, in order, the different ones of ``width`` bytes: the owner above the bytes, in order."""
     values = windows[windows & 7 >= width] >> 8 * (most - width) + 3
+    if width == most:
+        return values
     return values[np.diff(values, prepend=-1) != 0]
 
 
@@ -121,7 +135,11 @@ class _Blocks:
     """
 
     def __init__(self, widths: tuple[int, ...]) -> None:
-        self.widths, self.most, self.open = widths, max(widths), None
+        self.widths, self.most, self.open, self.found = widths, max(widths), None, []
+
+    def _merged(self) -> np.ndarray:
+        """The open block's windows, which pieces may share."""
+        return self.found[0] if len(self.found) == 1 else _different(np.concatenate([np.zeros(0, np.int64), *self.found]))[0]
 
     def add(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """Blocks that have ended, places among them, and beside each place a gram."""
@@ -131,17 +149,27 @@ class _Blocks:
         index = coded.indices.to_numpy()
         fresh = np.diff(index, prepend=-1) != 0
         blocks, owner = coded.dictionary.take(pa.array(index[fresh])), np.cumsum(fresh) - 1
-        found = list(_windows(*text_bytes(batch.column(1)), owner, min(self.widths), self.most))
-        if self.open is not None and self.open[0].equals(blocks[:1]):
-            found.append(self.open[1])  # the first owner is 0
-        else:
+        if self.open is not None and not self.open.equals(blocks[:1]):
             yield from self.end()
-        both = found[0] if len(found) == 1 else _different(np.concatenate([np.zeros(0, np.int64), *found]))[0]
-        last, bits = len(blocks) - 1, 8 * self.most + 3
-        cut = np.searchsorted(both, last << bits)
-        self.open = blocks[last:], both[cut:] & (1 << bits) - 1
+        # Pieces are in the order of owners, so two share only the one that is open, and no other is sorted again
+        at, last, bits, ended = 0, len(blocks) - 1, 8 * self.most + 3, []
+        for windows in _windows(*text_bytes(batch.column(1)), owner, min(self.widths), self.most):
+            if not len(windows):
+                continue
+            head, newest = np.searchsorted(windows, at + 1 << bits), int(windows[-1] >> bits)
+            self.found.append(windows[:head])
+            if newest > at:
+                tail = np.searchsorted(windows, newest << bits)
+                ended += [self._merged(), windows[head:tail]]
+                at, self.found = newest, [windows[tail:]]
+            elif sum(map(len, self.found)) > HELD:
+                self.found = [self._merged()]
+        if at < last:  # the last block has no windows
+            ended.append(self._merged())
+            self.found = []
+        self.open, self.found = blocks[last:], [self._merged() & (1 << bits) - 1]
         if last:
-            yield from self._grams(blocks[:last], both[:cut])
+            yield from self._grams(blocks[:last], np.concatenate(ended))
 
     def _grams(self, blocks: pa.Array, windows: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for width in self.widths:
@@ -150,8 +178,8 @@ class _Blocks:
 
     def end(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         if self.open is not None:
-            yield from self._grams(*self.open)
-        self.open = None
+            yield from self._grams(self.open, self._merged())
+        self.open, self.found = None, []
 
 
 def _by_block(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -197,11 +225,19 @@ def _counts(units: DataFrame, widths: tuple[int, ...], block: str) -> DataFrame:
     fields = T.StructType([T.StructField("gram", T.LongType()), T.StructField("block_id", kind), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, names = [], 0, ["gram", "block_id", "n"]
-
-        def summed() -> pa.RecordBatch:
-            gram, n = _different(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(gram), pa.nulls(len(gram), ended), pa.array(n)], names)
+        held, size, counted, names = [], 0, [], ["gram", "block_id", "n"]
+
+        def summed(most: int) -> Iterator[pa.RecordBatch]:
+            # grams that many blocks have stay until the task ends, so few of their counts are handed on
+            nonlocal held, size, counted
+            counted.append(_different(np.concatenate(held)))
+            held, size = [], 0
+            if sum(len(gram) for gram, _ in counted) >= most:
+                gram, n = _added(counted)
+                counted = [(gram, n)]
+                if len(gram) >= most // 2:
+                    counted = []
+                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.nulls(len(gram), ended), pa.array(n)], names)
 
         for blocks, _, gram in _by_block(batches, widths):
             ended = blocks.type
@@ -209,10 +245,10 @@ def _counts(units: DataFrame, widths: tuple[int, ...], block: str) -> DataFrame:
             held.append(gram)
             size += len(gram)
             if size >= HELD:
-                yield summed()
-                held, size = [], 0
-        if held:
-            yield summed()
+                yield from summed(HELD)
+        if held or counted:
+            held.append(np.zeros(0, np.int64))
+            yield from summed(0)
 
     return _texts(units, widths, block).mapInArrow(trimmed(run), fields)
 
@@ -337,6 +373,7 @@ class Index:
         widths, rows = tuple(shares), {width: int(source_bytes * share / POSTING_BYTES) for width, share in shares.items()}
         counted = _counts(units, widths, "block_id").where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("all"))
         df = counted.select("gram", F.least("all", F.lit(RARE_DF + 1)).cast("long").alias("df")).persist()
+        df = df.coalesce(units.sparkSession.sparkContext.defaultParallelism)  # else each of many small tasks writes a file for each of as many others
         # as in budget(), for all widths at once: at most RARE_DF classes of each come to the driver
         classes = df.where(F.col("df") <= RARE_DF).groupBy(F.shiftright("gram", 56).alias("width"), "df").agg((F.count("*") * F.col("df")).alias("rows")).orderBy("df").collect()
         fits = F.lit(False)
